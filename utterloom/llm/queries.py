@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, urls, warc
+from . import media, nearjoin, packing, urls, warc
 from .shared import table
 
 
@@ -28,11 +28,15 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes)
 
 
+def op9_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_media, op6_urls, op10_warc)}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_media, op6_urls, op9_nearjoin, op10_warc)}
 
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
