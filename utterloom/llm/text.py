@@ -60,12 +60,17 @@ def pieces(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Letters, digits and every byte of a longer UTF-8 character; anything else parts words where punctuation must not count.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (exclusive) of each word, and where each document's words begin (one entry more than documents)."""
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(len(off), np.int64)
-    full = ~SPACE[data]
+    full = ~space[data]
     first, last = full.copy(), full.copy()
     first[1:] &= ~full[:-1]
     last[:-1] &= ~full[1:]
@@ -90,9 +95,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lut: np.n
     return mix(np.add.reduceat(b, at) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and where each document's words begin."""
-    starts, ends, woff = spans(data, off)
+    starts, ends, woff = spans(data, off, space)
     return hash_spans(data, starts, ends), woff
 
 
