@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, nearjoin, packing, suffix, urls, warc
+from . import decontam, maxent, media, nearjoin, packing, suffix, urls, warc
 from .shared import table
 
 
@@ -36,6 +36,10 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, outcomes)
 
 
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_classes(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontam, op3_packing, op4_suffix, op5_media, op6_urls, op9_nearjoin, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_decontam, op3_packing, op4_suffix, op5_media, op6_urls, op7_maxent, op9_nearjoin, op10_warc)}
 
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
