@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, maxent, media, nearjoin, packing, suffix, urls, warc
+from . import decontam, maxent, media, nearjoin, packing, quality, suffix, toxicity, urls, warc
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,10 @@ def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_classes(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontam, op3_packing, op4_suffix, op5_media, op6_urls, op7_maxent, op9_nearjoin, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontam, op3_packing, op4_suffix, op5_media, op6_urls, op7_maxent, op8_quality, op9_nearjoin, op10_warc)}
 
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
