@@ -30,7 +30,7 @@ from .text import mix, utf8
 
 WINDOW, GRAM, WIDTH = 100, 16, 25
 SECTION = 1 << 19
-BATCH = 6 << 20
+BATCH = 1 << 20
 
 _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
