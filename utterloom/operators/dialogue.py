@@ -45,13 +45,17 @@ def value_problems(text: Column, slots: Column) -> Column:
     ``slots``: array of struct(kind, type, value). An amount that ends an allowed one is no new value.
     """
     missing = F.transform(F.filter(slots, lambda s: ~text.contains(s["value"])), lambda s: F.concat(F.lit("missing "), s["type"], F.lit(" '"), s["value"], F.lit("'")))
-    out = missing
-    for kind in ("amount", "date", "time"):
-        allowed = F.filter(F.transform(F.filter(slots, lambda s, k=kind: s["kind"] == k), lambda s, k=kind: V.normalize(F.lit(k), s["value"])), lambda v: v.isNotNull())
+    none = F.array().cast("array<string>")
+
+    def extra_values(kind: str) -> Column:
+        own = F.filter(slots, lambda s: s["kind"] == kind)
+        allowed = F.filter(F.transform(own, lambda s: V.normalize(F.lit(kind), s["value"])), lambda v: v.isNotNull())
         extra = F.array_sort(F.array_except(V.values_in(F.lit(kind), text), allowed))
         if kind == "amount":
-            extra = F.filter(extra, lambda v, a=allowed: ~F.exists(a, lambda x: x.endswith(v)))
-        out = F.concat(out, F.when(F.size(extra) > 0, F.array(F.concat(F.lit(f"extra {kind} ["), F.array_join(extra, ", "), F.lit("]")))).otherwise(F.array().cast("array<string>")))
+            extra = F.filter(extra, lambda v: ~F.exists(allowed, lambda x: x.endswith(v)))
+        return F.when(F.size(extra) > 0, F.array(F.concat(F.lit(f"extra {kind} ["), F.array_join(extra, ", "), F.lit("]")))).otherwise(none)
+
+    out = F.concat(missing, *map(extra_values, ("amount", "date", "time")))
     ids = F.transform(F.filter(slots, lambda s: s["kind"] == "id"), lambda s: V.norm_id(s["value"]))
     odd = F.filter(V.id_like(text), lambda x: ~F.exists(ids, lambda a: a.contains(V.norm_id(x))))
     return F.concat(out, F.transform(odd, lambda x: F.concat(F.lit("extra id '"), x, F.lit("'"))))

@@ -57,7 +57,7 @@ def forward_slashes(path: Column) -> Column:
 def fixed(x: Column, places: int = 1, scale: float = 1.0) -> Column:
     """Text with fixed places, '-' if undefined, no negative zero."""
     text = F.format_string(f"%.{places}f", F.round(x * scale, places) + F.lit(0.0))
-    return F.coalesce(F.regexp_replace(text, r"^-(0(?:\.0+)?)$", "$1"), F.lit("-"))
+    return F.when(x.isNull(), "-").otherwise(F.regexp_replace(text, r"^-(0(?:\.0+)?)$", "$1"))
 
 
 def metric_line(line: Column) -> Column:
