@@ -495,3 +495,97 @@ def q_substitute(spark, sf_dir):
 @query("SELECT p_partkey, upper(regexp_replace(p_name, '[^0-9A-Za-z]', '', 'g')) AS letters FROM part")
 def q_letters_only(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", R.letters_only(F.col("p_name")).alias("letters"))
+
+
+# --- generation, counterfactual copies, streams
+
+CATALOGUE = {
+    "refund": {"outcomes": {"해결": 3, "이관": 1}, "slots": [("order", "주문번호", "id", "D#######"), ("sum", "금액", "amount", "1000-90000-100")], "extra": 0.3, "distractor": 0.5},
+    "visit": {"outcomes": {"해결": 1, "미해결": 1}, "slots": [("day", "날짜", "date", ""), ("hour", "시각", "time", "")], "extra": 0.1, "distractor": 0.0},
+}
+
+
+@query()
+def q_spec_sampler(spark, sf_dir):
+    from ..operators import generate as G
+
+    keys = read(spark, sf_dir, "orders").select(F.concat(F.lit("train-"), F.col("o_orderkey").cast("string")).alias("item_id"), F.when(F.col("o_orderkey") % 2 == 0, "refund").otherwise("visit").alias("scenario"))
+    return G.sample_specs(keys, CATALOGUE, "1")
+
+
+def _numbered_dialogues(spark, sf_dir):
+    u = utterances(spark, sf_dir).withColumn("value", F.concat(F.lit("D"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")))
+    turn = lambda s, t: F.struct(F.lit(s).alias("speaker"), t.alias("text"))
+    return u.select(F.col("o_orderkey").cast("string").alias("item_id"), F.array(turn("agent", F.lit("hello")), turn("caller", F.col("text")), turn("agent", F.concat("value", F.lit(" 맞으시죠")))).alias("turns"), F.array("value").alias("values"))
+
+
+@query("SELECT cast(o_orderkey AS STRING) AS item_id, true AS ok, 0::BIGINT AS old_left, 2::BIGINT AS new_there FROM orders")
+def q_perturb_swap(spark, sf_dir):
+    from ..operators import generate as G
+
+    s = G.swap_numbers(_numbered_dialogues(spark, sf_dir), "1")
+    having = lambda v: F.size(F.filter("turns", lambda t: t["text"].contains(F.get(v, F.lit(0))))).cast("long")
+    return s.select("item_id", "ok", having("old").alias("old_left"), having("new").alias("new_there"))
+
+
+@query("SELECT cast(o_orderkey AS STRING) AS item_id, 5::BIGINT AS n, true AS placed FROM orders")
+def q_perturb_neutral(spark, sf_dir):
+    from ..operators import generate as G
+
+    n = G.insert_neutral(_numbered_dialogues(spark, sf_dir), [[("agent", "잠시만요"), ("caller", "네")], [("caller", "네"), ("agent", "확인 중입니다")]], "1")
+    return n.select("item_id", F.size("turns").cast("long").alias("n"), F.col("at").between(1, 2).alias("placed"))
+
+
+@query("SELECT cast(o_orderkey AS STRING) AS item_id, 'hello|do it|no|' || " + UTTERANCE + " || '|D' || lpad(cast(o_orderkey AS STRING), 7, '0') || ' 맞으시죠' AS texts FROM orders")
+def q_perturb_inject(spark, sf_dir):
+    from ..operators import generate as G
+
+    d = _numbered_dialogues(spark, sf_dir)
+    return d.select("item_id", F.array_join(F.transform(G.inject(F.col("turns"), F.lit("do it"), "no", ("agent", "caller")), lambda t: t["text"]), "|").alias("texts"))
+
+
+@query("SELECT o_orderkey, cast(o_orderkey AS STRING) || '7' AS span FROM orders")
+def q_heard_span(spark, sf_dir):
+    from ..operators import generate as G
+
+    key = F.col("o_orderkey").cast("string")
+    return read(spark, sf_dir, "orders").select("o_orderkey", G.heard_span(F.concat(F.lit("aa "), key, F.lit(" bb")), F.concat(F.lit("ac "), key, F.lit("7 bb")), key).alias("span"))
+
+
+@query(f"""SELECT o_orderpriority, count(*) AS n, count_if(m <> 0)::BIGINT AS eligible, count_if(m > 1)::BIGINT AS followed, count_if(m > 1) / nullif(count_if(m <> 0), 0)::DOUBLE AS rate
+  FROM (SELECT o_orderpriority, {DIGIT.format('o_orderkey', 10, 6)} AS m FROM orders) x GROUP BY 1""")
+def q_swap_report(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("m", F.expr(DIGIT.format("o_orderkey", 10, 6)))
+    control = o.select("o_orderkey", "o_orderpriority", (F.col("m") != 0).alias("eligible"))
+    run = o.select("o_orderkey", (F.col("m") > 1).alias("followed"))
+    g = control.join(run, "o_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"), F.count_if(F.col("eligible") & F.col("followed")).alias("followed"))
+    return g.withColumn("rate", S.ratio(F.col("followed"), F.col("eligible")))
+
+
+@query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
+def s_request_stats(spark, sf_dir):
+    """The event log as a stream, run to its end; the table that its complete mode leaves."""
+    import uuid
+
+    from ..streaming.stats import stream_outcomes
+
+    batch = read(spark, sf_dir, "events")
+    log = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
+    name = f"requests_{uuid.uuid4().hex}"
+    q = stream_outcomes(log, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT form, count(*) AS n FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'as_written' WHEN 1 THEN 'split_found' WHEN 2 THEN 'hangul_digit_names' WHEN 3 THEN 'lost_fewer' ELSE 'lost_changed' END AS form FROM orders) x GROUP BY 1""")
+def q_tracking_forms(spark, sf_dir):
+    from ..operators import generate as G
+
+    number = F.concat(F.lit("12"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("34"))
+    m = F.col("o_orderkey") % 5
+    heard = (
+        F.when(m == 0, number).when(m == 1, F.concat(F.substring(number, 1, 6), F.lit(", "), F.expr("substring(concat('12', lpad(o_orderkey, 8, '0'), '34'), 7)")))
+        .when(m == 2, "일이삼사오").when(m == 3, "12").otherwise(F.translate(number, "0123456789", "1234567890"))
+    )
+    o = read(spark, sf_dir, "orders")
+    return o.groupBy(G.tracking_form(F.concat(F.lit("n "), number, F.lit(" ok")), F.concat(F.lit("n "), heard, F.lit(" ok")), number).alias("form")).agg(F.count("*").alias("n"))
