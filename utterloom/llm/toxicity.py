@@ -235,13 +235,19 @@ def all_logits(net: Network, w: Words, win: np.ndarray) -> np.ndarray:
 
 def row_labels(border: np.ndarray, toxic: np.ndarray, w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """For word rows and n-gram rows: in how many toxic and in how many clean documents each stands."""
-    doc, out = np.repeat(np.arange(len(border) - 1), np.diff(border)), []
-    n = w.grams[w.token]
-    grams = w.gram[np.repeat(w.gram_at[w.token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    for d, row, size in ((doc, w.word[w.token], 1 << WORD_BITS), (np.repeat(doc, n), grams, 1 << GRAM_BITS)):
-        pair = np.unique(d * size + row)
-        d, row = pair // size, pair % size
-        out.append((np.bincount(row[toxic[d]], minlength=size), np.bincount(row[~toxic[d]], minlength=size)))
+    out = [(np.zeros(size, np.int64), np.zeros(size, np.int64)) for size in (1 << WORD_BITS, 1 << GRAM_BITS)]
+    for i in range(0, len(border) - 1, 128):  # pairs of a few documents at a time
+        part = border[i : i + 129]
+        doc, token = np.repeat(np.arange(i, i + len(part) - 1), np.diff(part)), w.token[part[0] : part[-1]]
+        both = np.unique(doc * len(w.word) + token) if len(token) else np.zeros(0, np.int64)
+        doc, token = both // max(len(w.word), 1), both % max(len(w.word), 1)
+        n = w.grams[token]
+        grams = w.gram[np.repeat(w.gram_at[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        for (bad, good), d, row in ((out[0], doc, w.word[token]), (out[1], np.repeat(doc, n), grams)):
+            pair = np.unique(d * len(bad) + row)
+            d, row = pair // len(bad), pair % len(bad)
+            bad += np.bincount(row[toxic[d]], minlength=len(bad))
+            good += np.bincount(row[~toxic[d]], minlength=len(good))
     return out
 
 
