@@ -191,9 +191,11 @@ def _add_rows(table: np.ndarray, speed: np.ndarray, rows: np.ndarray, grad: np.n
 
 
 class Trainer:
-    def __init__(self, net: Network, w: Words, win: np.ndarray, usual: list[np.ndarray]):
+    def __init__(self, net: Network, w: Words, win: np.ndarray, usual: list[np.ndarray], hints: list[np.ndarray]):
         self.net, self.w, self.win, self.usual = net, w, win, usual
         net.word[~usual[0]], net.gram[~usual[1]] = 0, 0
+        for k, table in enumerate((net.word, net.gram)):  # one dimension of each starts as what the labels say of the row
+            table[:, k] = 0.4 * hints[k]
         self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
         self.t, self.speed = 0, [np.full(len(x), 1e-4, np.float32) for x in (net.word, net.gram)]
@@ -251,9 +253,15 @@ def row_labels(border: np.ndarray, toxic: np.ndarray, w: Words) -> list[tuple[np
     return out
 
 
+def row_odds(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> list[np.ndarray]:
+    """Log odds of documents with a row by label, drawn to 0 where few have it; 0 for rare rows."""
+    t, c = toxic.sum() + 1, (~toxic).sum() + 1
+    return [np.where(a + b < LEAST_DOCS, 0, (np.log((a + 0.5) / t) - np.log((b + 0.5) / c)) * (a + b) / (a + b + 3)) for a, b in counts]
+
+
 def log_odds(w: Words, counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """Suspicion of each distinct word: log odds of documents with it, or of its best character n-gram, by label; 0 for rare rows."""
-    word, gram = (np.where(a + b < LEAST_DOCS, 0, np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))) for a, b in counts)
+    """Suspicion of each distinct word: the odds of its row, or of its best character n-gram's."""
+    word, gram = row_odds(counts, toxic)
     out = word[w.word]
     some = w.grams > 0
     out[some] = np.maximum(out[some], np.maximum.reduceat(gram[w.gram], w.gram_at[some])) if some.any() else out[some]
@@ -278,7 +286,7 @@ def train(texts: list[str], toxic: np.ndarray) -> tuple[Network, float] | None:
     win = window_tokens(w.token, w.border, doc, first)
     net, rng = Network(), np.random.default_rng(SEED)
     counts = row_labels(w.border, toxic, w)
-    trainer = Trainer(net, w, win, [a + b >= LEAST_DOCS for a, b in counts])
+    trainer = Trainer(net, w, win, [a + b >= LEAST_DOCS for a, b in counts], row_odds(counts, toxic))
     odds = np.append(log_odds(w, counts, toxic), -9)
     score = np.sort(odds[win], axis=1)[:, -3:].mean(1)
     bad = toxic[doc]
