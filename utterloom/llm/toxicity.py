@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy, over all overlapping windows.
 
-A token's input is its hashed word embedding plus the mean of its character 3- and 4-grams' embeddings. Windows of ``WINDOW`` words start every
+A token's input is its hashed word embedding plus the mean of its character 3- and 4-grams' embeddings. Of a word repeated in a row two are read. Windows of ``WINDOW`` words start every
 ``STRIDE`` words (the last one ends with the text). A gated recurrent layer runs over a window in both directions, attention
 pools its states, and a logit follows. A document's score is that of its highest window.
 
@@ -40,6 +40,11 @@ class Words:
         starts, ends, self.border = spans(data, off, NOT_LETTER)
         h = hash_spans(data, starts, ends)
         self.hash, first, self.token = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.token) > 2:  # a word that goes on repeating says no more: two in a row stay
+            t, doc = self.token, np.repeat(np.arange(len(self.border) - 1), np.diff(self.border))
+            keep = np.ones(len(t), bool)
+            keep[2:] = (t[2:] != t[1:-1]) | (t[2:] != t[:-2]) | (doc[2:] != doc[:-2])
+            self.token, self.border = t[keep], np.append(0, np.cumsum(keep))[self.border]
         self.word = (self.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         s, n = starts[first], ends[first] - starts[first] + 2
         at = np.cumsum(n) - n
