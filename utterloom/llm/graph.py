@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,8 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128) -> dict[int, np.ndarray]:
-    """Sum of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``).
+def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False) -> dict[int, np.ndarray]:
+    """Sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``;
+    ``packed``: compressed by zlib).
 
     Two levels, so that no task holds more than ``fan_in`` arrays of a block at the first; the result is as large as one
     task's set of blocks, whatever the number of tasks.
@@ -42,11 +45,11 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128) -> dict[int, np.
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = None
         for raw in pdf["data"]:
-            a = np.frombuffer(raw, dtype)
-            total = a.copy() if total is None else total + a
-        return pd.DataFrame({"part": [0], "block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
+            a = np.frombuffer(zlib.decompress(raw) if packed else raw, dtype)
+            total = a.copy() if total is None else add_up(total, a)
+        return pd.DataFrame({"part": [0], "block": [pdf["block"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1) if packed else total.tobytes()]})
 
     schema = "part int, block int, data binary"
     first = parts.withColumn("group", (F.col("part") / fan_in).cast("int")).groupBy("block", "group").applyInPandas(add, schema)
     second = first.groupBy("block").applyInPandas(add, schema)
-    return {r["block"]: np.frombuffer(r["data"], dtype) for r in second.select("block", "data").collect()}
+    return {r["block"]: np.frombuffer(zlib.decompress(r["data"]) if packed else r["data"], dtype) for r in second.select("block", "data").collect()}

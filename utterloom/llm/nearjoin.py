@@ -7,8 +7,8 @@ candidates (the prefix's excess frequencies over l) cheapest, so documents of fr
 
 Documents with equal sets are one node, known by a 64-bit fingerprint. A first round verifies each node against one hub,
 the node with which it shares most prefix shingles; a second verifies all further candidates whose nodes are not yet in one
-component. Links inside a component change nothing, so no link between different texts is lost for the classes, and
-a group of near copies is not expanded into its pairs.
+component. Links inside a component change nothing, so no link between different texts is lost for the classes. Nodes that frequent
+tokens connect are compared in blocks, so a group of near copies is not expanded into its pairs.
 
 Nulls and empty texts: empty set, linked with nothing, its component is its own doc_id. Texts under five words: the whole
 sequence is one shingle. Repeated rows of a doc_id each get a row. A null doc_id never names a component, unless no other
@@ -17,9 +17,11 @@ member does. Empty tables give no rows; extra columns are ignored. Long texts: w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,11 @@ from .shared import shuffle_parts, stored
 from .text import mix, pieces, shingle_sets, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
-COUNT_BITS, BLOCK = 20, 1 << 14
-MOST_MATCHES = 4
+COUNT_BITS, BLOCK = 21, 1 << 15
+MATCHES = (1, 2, 4, 8, 12, 16, 24, 32)
+BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 24, 3, 1 << 17
+#: A token of more open nodes than this is hot; hot nodes are compared in blocks of so many.
+HOT, BLOCK_NODES = 64, 512
 #: Cost of a posting and of a candidate, in the same unit.
 POSTING_COST, CANDIDATE_COST = 1.0, 4.0
 
@@ -81,7 +86,7 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
         k = len(counts) // BLOCK
         none = [None] * k
-        cols = [none, none, none, [part] * k, list(range(k)), [counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)]]
+        cols = [none, none, none, [part] * k, list(range(k)), [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in range(k)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, part int, block int, data binary"), "profile")
@@ -92,8 +97,10 @@ def choose_matches(order: np.ndarray, excess: np.ndarray, percent: int) -> tuple
     n = len(order)
     need = int(_needed(n, percent))
     best = None
-    for l in range(1, min(MOST_MATCHES, need) + 1):  # noqa: E741
+    for l in MATCHES:  # noqa: E741
         p = n - need + l
+        if l > need:
+            break
         cost = POSTING_COST * p + CANDIDATE_COST * float(excess[:p].sum()) / l
         if best is None or cost < best[0]:
             best = (cost, l, p)
@@ -108,7 +115,7 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
     spark = docs.sparkSession
     buckets = 2 * max(shuffle_parts(spark), 12)
     usual = int(np.median(counts))
-    known = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 2 MB, of fixed size
+    known = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 4 MB, of fixed size
 
     def send(batches):
         cnt = known.value
@@ -162,9 +169,9 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
                 continue
             at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             lead = np.repeat(at, np.diff(np.append(at, len(t))))
-            a, b2, na = f[lead], f, n[lead]
+            a, b2, na, least = f[lead], f, n[lead], np.minimum(l[lead], l)
             ok = (a != b2) & (100 * np.minimum(na, n).astype(np.int64) >= percent * np.maximum(na, n).astype(np.int64))
-            pairs = np.stack([a[ok], b2[ok]], 1)
+            pairs = np.stack([a[ok], b2[ok], least[ok].astype(np.int64)], 1)
             if len(pairs):
                 po = np.lexsort((pairs[:, 1], pairs[:, 0]))
                 pairs = pairs[po]
@@ -178,24 +185,52 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(f), pa.array(n.astype(np.int64)), pa.array(l.astype(np.int64)), blank(len(t)), blank(len(t)), blank(len(t))], names)
             if len(pairs):
                 k = len(pairs)
-                yield pa.RecordBatch.from_arrays([blank(k), blank(k), blank(k), blank(k), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared.astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([blank(k), blank(k), blank(k), pa.array(pairs[:, 2]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared.astype(np.int64))], names)
 
     sent = docs.select("text").mapInArrow(send, "bucket int, t binary, f binary, n binary, l binary")
     met = sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, fp long, n long, l long, a long, b long, shared long")
     return stored(met, "postings")
 
 
+def _probes(fp: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    h = mix(fp.view(np.uint64) ^ mix(doc_id.astype(np.int64).view(np.uint64)))
+    return np.stack([(h >> np.uint64(BLOOM_BITS // 2 * k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in range(BLOOM_PROBES)], 1).astype(np.int64)
+
+
 def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it)."""
+    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it), and of a few more.
+
+    Texts are not shuffled: a Bloom filter of fixed size tells each task which documents it needs. Where it is too full, more sets
+    than needed are kept, and the joins that use them drop those.
+    """
+
+    def fill(batches):
+        from pyspark import TaskContext
+
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for b in batches:
+            bits[_probes(*(c.to_numpy(zero_copy_only=False) for c in b.columns)).ravel()] = True
+        raw, part = np.packbits(bits), TaskContext.get().partitionId()
+        for k in range(0, len(raw), BLOOM_BLOCK):
+            if raw[k : k + BLOOM_BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([raw[k : k + BLOOM_BLOCK].tobytes()], pa.binary())], ["part", "block", "data"])
+
+    raw = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    wanted = nodes.filter("doc_id IS NOT NULL").select("fp", "doc_id").mapInArrow(fill, "part int, block int, data binary")
+    for k, a in sum_blocks(wanted, "u1", add_up=np.bitwise_or).items():
+        raw[k : k + BLOOM_BLOCK] = a
+    sent = docs.sparkSession.sparkContext.broadcast(raw)  # 2 MB, of fixed size
 
     def run(batches):
-        seen = set()
+        bits = np.unpackbits(sent.value).astype(bool)
         for b in batches:
-            want, fps, sets = b.column(1).to_pylist(), [], []
+            ids, fps, sets = b.column(1).cast(pa.int64()).to_pylist(), [], []
             for i, s in doc_sets(b, 0, words):
-                if want[i] not in seen and fingerprint(s) == want[i]:
-                    seen.add(want[i])
-                    fps.append(want[i])
+                if not len(s):
+                    continue
+                fp = fingerprint(s)
+                if ids[i] is None or bits[_probes(np.array([fp]), np.array([ids[i]]))].all():
+                    fps.append(fp)
                     sets.append(s.tobytes())
                 if len(sets) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
@@ -203,8 +238,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
 
-    joined = docs.select("doc_id", "text").join(nodes, "doc_id").select("text", "fp")
-    return stored(joined.mapInArrow(run, "fp long, s binary"), "nodesets")
+    return stored(docs.select("text", "doc_id").mapInArrow(run, "fp long, s binary"), "nodesets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,35 +260,95 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(full.mapInArrow(run, "a long, b long"), "links")
 
 
+def cold_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share enough prefix tokens.
+
+    x's prefix leaves need_x - l_x tokens. All common tokens up to the end of the prefix that ends first are in both, so a
+    pair with the overlap that the threshold asks of its sizes shares that much less what is left behind, and l at least. ``h``: how
+    many hot tokens, which are not counted here, a node's prefix has.
+    """
+    x, y = rest.alias("x"), rest.alias("y")
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp"))
+    meets &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    behind = lambda s: F.floor((percent * F.col(f"{s}.n") + 99) / 100) - F.col(f"{s}.l")
+    overlap = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    asked = F.greatest(F.least("x.l", "y.l"), overlap - F.greatest(behind("x"), behind("y"))) - F.least("x.h", "y.h")
+    pairs = x.join(y, meets).groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("shared"), F.min(asked).alias("asked"))
+    return pairs.filter("shared >= asked").select("a", "b")
+
+
+def hot_links(hot: DataFrame, fetch, percent: int) -> DataFrame:
+    """Stored: links (a, b) among nodes that share hot tokens, as many as tell the components.
+
+    Nodes that hot tokens connect are a cluster; its nodes are dealt to blocks, and each two blocks are compared by one task as a
+    product of incidence matrices. No pair is a row: a task gives one link for each node at most.
+    """
+    cluster = components(hot.select(F.col("fp").alias("u"), F.col("token").alias("v")))
+    node = hot.select("fp").distinct().join(cluster.select(F.col("u").alias("fp"), F.col("v").alias("c")), "fp", "left").select("fp", F.coalesce("c", "fp").alias("c"))
+    blocks = node.groupBy("c").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("long").alias("blocks"))
+    dealt = node.join(blocks, "c").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("fp", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("fp")
+        fp, sets = pdf["fp"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        size = np.array([len(s) for s in sets], np.float32)
+        _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size.astype(int))
+        keep = df[column] > 1
+        row, column = row[keep], (np.cumsum(df > 1) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, (low, low + 4096))
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[a:b], column[a:b] - low] = 1
+            both += m @ m.T
+        near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(near, True)
+        label = np.arange(len(sets))
+        while True:
+            least = np.where(near, label[None, :], len(sets)).min(1)
+            if (least == label).all():
+                break
+            label = least
+        moved = label != np.arange(len(sets))
+        return pd.DataFrame({"a": fp[label[moved]], "b": fp[moved]})
+
+    sets = fetch(node.select("fp"))
+    return stored(dealt.join(sets, "fp").groupBy("c", "i", "j").applyInPandas(compare, "a long, b long"), "hotlinks")
+
+
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (least doc_id that its links reach)."""
-    spark = docs.sparkSession
     seen = profile(docs, words)
     rows = seen.filter("block IS NULL").select("doc_id", "n", "fp")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for k, a in sum_blocks(seen.filter("block IS NOT NULL").select("part", "block", "data"), "<i4").items():
+    for k, a in sum_blocks(seen.filter("block IS NOT NULL").select("part", "block", "data"), "<i4", packed=True).items():
         counts[k * BLOCK : (k + 1) * BLOCK] = a
     met = shared_postings(docs, counts, words, percent)
     postings = met.filter("token IS NOT NULL").select("token", "fp", "n", "l")
     nodes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    sets = node_sets(docs, nodes.join(postings.select("fp").distinct(), "fp"), words)
 
-    hubs = met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        return verified(pairs, node_sets(docs, nodes.join(ends, "fp"), words), percent)
+
+    hubs = met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l")).filter("shared >= l")
     tried = stored(hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "tried")
-    links = verified(tried, sets, percent)
+    links = check(tried)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = postings.join(comp.select(F.col("u").alias("fp"), F.col("v").alias("comp")), "fp", "left")
-    named = named.select("token", "fp", "n", "l", F.coalesce("comp", "fp").alias("comp"))
-    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = stored(named.join(open_, "token"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.comp") != F.col("y.comp"))
-    meets &= 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pairs = x.join(y, meets).groupBy(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("l"))
-    pairs = pairs.filter("shared >= l").select("a", "b")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(pairs.join(done, ["a", "b"], "left_anti"), sets, percent)
+    named = stored(named.select("token", "fp", "n", "l", F.coalesce("comp", "fp").alias("comp")), "named")
+    open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
+    rest = stored(named.join(open_.select("token", (F.col("k") > HOT).alias("hot")), "token"), "open")
+    hot = rest.filter("hot")
+    cold = rest.filter("NOT hot").join(hot.groupBy("fp").agg(F.count("*").alias("h")), "fp", "left").fillna(0, ["h"])
+    more = check(stored(cold_pairs(cold, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest"))
+    if hot.limit(1).count():
+        more = more.union(hot_links(hot, lambda ends: node_sets(docs, nodes.join(ends, "fp"), words), percent))
     links = links.union(more)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
