@@ -31,7 +31,7 @@ from .shared import shuffle_parts, stored
 from .text import mix, pieces, shingle_sets, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
-COUNT_BITS, BLOCK = 21, 1 << 15
+COUNT_BITS, BLOCK = 22, 1 << 15
 MATCHES = (1, 2, 4, 8, 12, 16, 24, 32)
 BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 24, 3, 1 << 17
 #: A token of more open nodes than this is hot; hot nodes are compared in blocks of so many.
@@ -115,7 +115,7 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
     spark = docs.sparkSession
     buckets = 2 * max(shuffle_parts(spark), 12)
     usual = int(np.median(counts))
-    known = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 4 MB, of fixed size
+    known = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB, of fixed size
 
     def send(batches):
         cnt = known.value
