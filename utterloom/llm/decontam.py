@@ -149,14 +149,18 @@ PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long
 
 
 def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    if not len(items.gram):
+        return docs.sparkSession.createDataFrame([], PAIRS)
     gram, owner = items.seeds(corpus_counts(docs, items))
     words, ids, sizes = items.words, items.ids, items.sizes
     sent = docs.sparkSession.sparkContext.broadcast((gram, owner))
 
     def candidates(doc: np.ndarray, at: np.ndarray, item: np.ndarray, g: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+        if not len(doc):
+            return
         o = np.lexsort((at, item, doc))
         doc, at, item, g = doc[o], at[o], item[o], g[o]
-        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else []
+        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
         for i, j in zip(edge, np.append(edge[1:], len(doc)), strict=True):
             k = int(item[i])
             need = 2 if len(words[k]) > GRAM + 1 else 1
