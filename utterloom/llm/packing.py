@@ -25,7 +25,6 @@ from .shared import stored
 
 LENGTH, END_ID = 2048, 1
 CACHE_WORDS = 1 << 19
-_BREAKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
 
 
 class WordEncoder:
@@ -60,15 +59,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        split = [[w for w in t.translate(_BREAKS).split(" ") if w] for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.index))
+        get, out = self.index.get, []
+        places = [list(map(get, ws)) for ws in split]
+        new = list(dict.fromkeys(w for ws, at in zip(split, places, strict=True) if None in at for w, k in zip(ws, at, strict=True) if k is None))
         if new:
             self._learn(new)
-        index, out = self.index, []
-        for ws in split:
-            at = np.fromiter((index[w] for w in ws), np.int64, len(ws))
+        for ws, place in zip(split, places, strict=True):
+            at = np.array(list(map(get, ws)) if None in place else place, np.int64)
             n = self.count[at]
             total = int(n.sum())
             shift = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
