@@ -113,11 +113,23 @@ def norm_time(v: Column) -> Column:
     return F.when(v.rlike(TIME_KO), _time_ko(v)).otherwise(_time_colon(v))
 
 
-def normalize(kind: Column, v: Column) -> Column:
-    blank = lambda c: F.nullif(c, F.lit(""))
-    return (
-        F.when(kind == "id", blank(norm_id(v))).when(kind == "text", blank(norm_text(v)))
-        .when(kind == "amount", norm_amount(v)).when(kind == "date", norm_date(v)).when(kind == "time", norm_time(v))
+def _by_kind(kind: Column | str, branches: dict) -> Column:
+    """The kind's branch: chosen while the plan is built if the kind is known, else a CASE. ``branches``: kind -> function without arguments."""
+    if isinstance(kind, str):
+        return branches[kind]()
+    out = None
+    for name, make in branches.items():
+        out = F.when(kind == name, make()) if out is None else out.when(kind == name, make())
+    return out
+
+
+def normalize(kind: Column | str, v: Column) -> Column:
+    return _by_kind(
+        kind,
+        {
+            "id": lambda: F.nullif(norm_id(v), F.lit("")), "text": lambda: F.nullif(norm_text(v), F.lit("")), "amount": lambda: norm_amount(v),
+            "date": lambda: norm_date(v), "time": lambda: norm_time(v),
+        },
     )
 
 
@@ -147,8 +159,8 @@ def times_in(text: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
 
 
-def values_in(kind: Column, text: Column) -> Column:
-    return F.when(kind == "amount", amounts_in(text)).when(kind == "date", dates_in(text)).when(kind == "time", times_in(text))
+def values_in(kind: Column | str, text: Column) -> Column:
+    return _by_kind(kind, {"amount": lambda: amounts_in(text), "date": lambda: dates_in(text), "time": lambda: times_in(text)})
 
 
 def digit_runs(text: Column) -> Column:
@@ -156,21 +168,23 @@ def digit_runs(text: Column) -> Column:
     return F.transform(_hits(text, DIGIT_RUN), lambda r: F.regexp_replace(r, r"(?U)\D", ""))
 
 
-def occurs(kind: Column, value: Column, text: Column, spoken: Column | bool = False) -> Column:
+def occurs(kind: Column | str, value: Column, text: Column, spoken: Column | bool = False) -> Column:
     """Whether the value can be found in the text. Unreadable values are not found.
 
     ``spoken`` also accepts an id whose digits (four at least) stand inside one digit run.
     """
     norm = normalize(kind, value)
-    digits = F.regexp_replace(norm, r"(?U)\D", "")
-    said = F.lit(spoken) if isinstance(spoken, bool) else spoken
-    inside = F.exists(digit_runs(text), lambda r: r.contains(digits))
-    return F.coalesce(
-        F.when(kind == "id", norm_id(text).contains(norm) | (said & (F.length(digits) >= 4) & inside))
-        .when(kind == "text", norm_text(text).contains(norm))
-        .otherwise(F.array_contains(values_in(kind, text), norm)),
-        F.lit(False),
-    )
+
+    def as_id() -> Column:
+        written = norm_id(text).contains(norm)
+        if spoken is False:
+            return written
+        digits = F.regexp_replace(norm, r"(?U)\D", "")
+        inside = (F.length(digits) >= 4) & F.exists(digit_runs(text), lambda r: r.contains(digits))
+        return written | ((F.lit(True) if spoken is True else spoken) & inside)
+
+    listed = {k: lambda k=k: F.array_contains(values_in(k, text), norm) for k in ("amount", "date", "time")}
+    return F.coalesce(_by_kind(kind, {"id": as_id, "text": lambda: norm_text(text).contains(norm)} | listed), F.lit(False))
 
 
 def windows_of_digits(text: Column, size: int = 4) -> Column:

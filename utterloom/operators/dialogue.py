@@ -49,8 +49,8 @@ def value_problems(text: Column, slots: Column) -> Column:
 
     def extra_values(kind: str) -> Column:
         own = F.filter(slots, lambda s: s["kind"] == kind)
-        allowed = F.filter(F.transform(own, lambda s: V.normalize(F.lit(kind), s["value"])), lambda v: v.isNotNull())
-        extra = F.array_sort(F.array_except(V.values_in(F.lit(kind), text), allowed))
+        allowed = F.filter(F.transform(own, lambda s: V.normalize(kind, s["value"])), lambda v: v.isNotNull())
+        extra = F.array_sort(F.array_except(V.values_in(kind, text), allowed))
         if kind == "amount":
             extra = F.filter(extra, lambda v: ~F.exists(allowed, lambda x: x.endswith(v)))
         return F.when(F.size(extra) > 0, F.array(F.concat(F.lit(f"extra {kind} ["), F.array_join(extra, ", "), F.lit("]")))).otherwise(none)

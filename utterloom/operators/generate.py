@@ -155,6 +155,6 @@ def tracking_form(written: Column, heard: Column, number: Column) -> Column:
     span = heard_span(written, heard, number)
     digits = lambda c: F.length(F.regexp_replace(c, r"(?U)\D", ""))
     return (
-        F.when(heard.contains(number), "as_written").when(V.occurs(F.lit("id"), number, heard, True), "split_found").when(heard.rlike("[공영일이삼사오육칠팔구]{4}"), "hangul_digit_names")
+        F.when(heard.contains(number), "as_written").when(V.occurs("id", number, heard, True), "split_found").when(heard.rlike("[공영일이삼사오육칠팔구]{4}"), "hangul_digit_names")
         .when(F.replace(span, F.lit("에서"), F.lit("")).rlike("[가-힣]"), "lost_hangul").when(digits(span) < digits(number), "lost_fewer").when(digits(span) > digits(number), "lost_more").otherwise("lost_changed")
     )

@@ -143,7 +143,7 @@ def q_value_occurs(spark, sf_dir):
     u = utterances(spark, sf_dir)
     amount = F.floor("o_totalprice") + F.when(F.expr(DIGIT.format("o_orderkey", 1, 3)) == 0, 1).otherwise(0)
     wrong = F.when(F.col("o_orderkey") % 7 == 0, F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).otherwise(F.lit("X99999999"))
-    found = lambda kind, v: V.occurs(F.lit(kind), v, F.col("text"))
+    found = lambda kind, v: V.occurs(kind, v, F.col("text"))
     return u.select(
         "o_orderkey", found("id", F.concat(F.lit("d"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"))).alias("id_found"), found("amount", F.concat(amount.cast("string"), F.lit("원"))).alias("amount_found"),
         found("date", F.date_format("o_orderdate", "M/d")).alias("date_found"), found("id", wrong).alias("wrong_found"),
@@ -157,7 +157,7 @@ def q_identifier_flags(spark, sf_dir):
     value = F.when(F.col("m") == 0, F.concat(F.lit("Q"), key)).when(F.col("m") == 1, F.concat(F.lit("D9"), F.substring(key, 2, 6))).otherwise(F.concat(F.lit("D"), key))
     formats = spark.createDataFrame([("주문번호", r"D\d{7}")], "type string, id_format string")
     u = u.withColumn("value", value).withColumn("type", F.lit("주문번호")).join(F.broadcast(formats), "type", "left")
-    return u.select("o_orderkey", D.identifier_flags(F.lit(True), V.norm_id(F.col("value")), F.col("id_format"), V.occurs(F.lit("id"), F.col("value"), F.col("text"), True)).alias("reasons"))
+    return u.select("o_orderkey", D.identifier_flags(F.lit(True), V.norm_id(F.col("value")), F.col("id_format"), V.occurs("id", F.col("value"), F.col("text"), True)).alias("reasons"))
 
 
 @query(f"""SELECT shape, count(*) AS n FROM (SELECT CASE {DIGIT.format('o_orderkey', 2, 4)} WHEN 0 THEN 'unreadable' WHEN 1 THEN 'other_length'
