@@ -27,7 +27,7 @@ from .text import LOWER, NOT_LETTER, hash_spans, mix, pieces, spans, utf8
 CUT, FOLDS, HELD = 0.7, 3, 1
 WINDOW, STRIDE = 32, 16
 EMBED, HIDDEN, WORD_BITS, GRAM_BITS = 16, 12, 17, 15
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1500, 2500, 1 << 15
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1200, 2000, 1 << 15
 SEED, EPOCHS, ROUNDS, LEAST_STEPS = 5, 3, 3, 150
 #: A hashed word or n-gram in fewer training documents has no embedding: it could only be memorised.
 LEAST_DOCS = 3
