@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,29 @@ def test_leaks(spark, none):
     assert decontam.contaminated(none, items).collect() == [] and decontam.contaminated(docs, items.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_edited_and_half_copies_are_leaks(spark, verbatim):
+    r = random.Random(5)
+    items = [[f"w{r.randrange(3000)}" for _ in range(n)] for n in (15, 22, 31, 40, 59)]
+    noise = [f"n{k}" for k in range(80)]
+    docs, want = [(-1, " ".join(noise))], set()
+    for k, x in enumerate(items):
+        copies = [[f"e{i}" if i % 5 == 4 else w for i, w in enumerate(x)], x[: (len(x) + 1) // 2], x[len(x) // 2 :]] + [x] * verbatim
+        for c in copies:
+            want.add((len(docs), k))
+            docs.append((len(docs), " ".join(noise + c + noise)))
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
+def test_case_of_any_letter_hides_nothing(spark):
+    item = "Élan straße ΟΔΟΣ ЖУРНАЛ état"
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "élan straße οδος журнал ÉTAT"), (2, "élan οδός")], "doc_id long, text string")
+    assert [(r["doc_id"], r["score"]) for r in decontam.contaminated(docs, table).collect()] == [(1, 1.0)]
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(3)
     for _ in range(30):

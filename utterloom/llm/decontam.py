@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are runs of letters and digits, A-Z lower-cased, so punctuation and case do not hide a copy. The 3-grams of the test
-items are counted over all documents; each item keeps the rarer half of its own (eight at least) as seeds, relative to itself,
-so a passage that has leaked into many documents keeps its seeds. A document and an item with two seeds or more in common
-(one, for items of few words) are aligned: match +2, mismatch -1, gap -1. The score is the best local alignment over the
-item's full score; the pair counts from ``threshold`` on.
+Words are runs of letters and digits without regard to case, so punctuation and case do not hide a copy. Every 3-gram of a test
+item is a seed: which of them an edit or a cut destroys is not known beforehand, so none is left out, however frequent. A document
+and an item with a seed in common are aligned around it, unless too few of the item's words stand there for the threshold:
+match +2, mismatch -1, gap -1. The score is the best local alignment over the item's full score; the pair counts from
+``threshold`` on. A copy without three words in a row as in the item has no seed and is not found.
 
 The items are the stated query set: they are handed to the tasks in blocks of at most ``BLOCK`` n-grams; more items are more
 blocks over the same documents, never more memory.
@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import NOT_LETTER, mix, ngram_hashes, pieces, utf8, word_hashes
 
-GRAM, LEAST_SEEDS, THRESHOLD = 3, 8, 0.45
+GRAM, THRESHOLD = 3, 0.45
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK = 1 << 19
 
@@ -55,11 +56,16 @@ def align_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """The texts in lower case, by way of upper case: letters with two small forms (final sigma, long s) become one."""
+    return pc.utf8_lower(pc.utf8_upper(column.cast(pa.large_string())))
+
+
 class Items:
     """A block of test items: words, sorted n-grams and which item has each."""
 
     def __init__(self, ids: list, texts: list):
-        data, off = utf8(pa.array(texts, pa.string()))
+        data, off = utf8(folded(pa.array(texts, pa.string())))
         w, woff = word_hashes(data, off, NOT_LETTER)
         self.ids, self.words = ids, [w[a:b] for a, b in zip(woff[:-1], woff[1:], strict=True)]
         grams, owner = [], []
@@ -72,17 +78,11 @@ class Items:
         self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
         self.sizes = sorted({min(GRAM, len(x)) for x in self.words if len(x)})
-        self.distinct = np.unique(self.gram)
 
-    def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram, item) of each item's rarer half, by n-gram; ``counts`` goes with ``distinct``."""
-        c = counts[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.gram, c, self.owner))
-        size = np.bincount(self.owner, minlength=len(self.words))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = order[rank < np.repeat(np.maximum(LEAST_SEEDS, (size + 1) // 2), size)]
-        keep = keep[np.argsort(self.gram[keep], kind="stable")]
-        return self.gram[keep], self.owner[keep]
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n-gram, item) of all items, by n-gram."""
+        o = np.argsort(self.gram, kind="stable")
+        return self.gram[o], self.owner[o]
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def _hits(words: np.ndarray, sizes: list[int], sorted_grams: np.ndarray, flags:
 
 def _text_pieces(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, words, document borders) of bounded pieces of a batch."""
-    data, off = utf8(batch.column(k))
+    data, off = utf8(folded(batch.column(k)))
     for a, b in pieces(off):
         w, woff = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], NOT_LETTER)
         yield a, w, woff
@@ -123,35 +123,13 @@ def _inside(at: np.ndarray, size: np.ndarray, woff: np.ndarray) -> tuple[np.ndar
     return doc, at + size <= woff[doc + 1]
 
 
-def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each of the items' n-grams stands in the documents."""
-    grams, sizes = items.distinct, items.sizes
-    sent = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def run(batches):
-        grams = sent.value
-        flags, total = _flags(grams), np.zeros(len(grams), np.int64)
-        for b in batches:
-            for _, w, woff in _text_pieces(b, 0):
-                at, size, g = _hits(w, sizes, grams, flags)
-                _, ok = _inside(at, size, woff)
-                total += np.bincount(np.searchsorted(grams, g[ok]), minlength=len(grams))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
-
-    out = np.zeros(len(grams), np.int64)
-    for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]] = r["n"]
-    return out
-
-
 PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
 
 
 def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     if not len(items.gram):
         return docs.sparkSession.createDataFrame([], PAIRS)
-    gram, owner = items.seeds(corpus_counts(docs, items))
+    gram, owner = items.seeds()
     words, ids, sizes = items.words, items.ids, items.sizes
     sent = docs.sparkSession.sparkContext.broadcast((gram, owner))
 
@@ -163,11 +141,9 @@ def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
         for i, j in zip(edge, np.append(edge[1:], len(doc)), strict=True):
             k = int(item[i])
-            need = 2 if len(words[k]) > GRAM + 1 else 1
             far = np.flatnonzero(np.diff(at[i:j]) > 2 * len(words[k])) + 1
             for part in np.split(np.arange(i, j), far):
-                if (n := len(np.unique(g[part]))) >= need:
-                    yield int(doc[i]), k, at[part], n
+                yield int(doc[i]), k, at[part], len(np.unique(g[part]))
 
     def run(batches):
         gram, owner = sent.value
@@ -186,6 +162,8 @@ def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 for d, k, places, seeds in candidates(np.repeat(doc, n), np.repeat(at, n), who, np.repeat(g, n)):
                     margin = len(words[k]) + 8
                     a, e = max(woff[d], places[0] - margin), min(woff[d + 1], places[-1] + margin + GRAM)
+                    if np.isin(words[k], w[a:e]).sum() / len(words[k]) < threshold:  # even with all of them matched
+                        continue
                     score, i, j = align(words[k], w[a:e])
                     share = score / (MATCH * len(words[k]))
                     if share >= threshold and share > best.get((d, k), (0,))[0]:
