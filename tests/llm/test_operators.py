@@ -238,6 +238,40 @@ def test_the_model_is_a_distribution():
     assert np.allclose(maxent.softmax(np.random.default_rng(0).normal(size=(3, 32))).sum(1), 1)
 
 
+def test_words_of_a_class_depend_on_the_context(spark):
+    """All answers follow the same word and so are of one class; only the word before that tells which of them comes."""
+    rows = [(i, f"key{i % 40} then ans{i % 40}") for i in range(6000)] + [(10**6 + i, f"key{i % 40} then ans{(i + 7) % 40}") for i in range(800)]
+    rows = [r for r in rows if (r[0] >= 10**6) == (zlib.crc32(str(r[0]).encode()) % 7 == 2) or r[0] < 10**6]
+    got = [r for r in maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect() if r["held_out"]]
+    right, wrong = (np.mean([r["score"] for r in got if (r["doc_id"] >= 10**6) == w]) for w in (False, True))
+    assert right > wrong + 0.3
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 1500])
+def test_steps_of_the_tree_are_a_distribution(n):
+    """Over all frequent words and all leaves of the others, for any weights; the start is the count table."""
+    rng = np.random.default_rng(n)
+    vocab, count = np.sort(rng.integers(1, 1 << 63, n).astype(np.uint64)), rng.integers(1, 90, n)
+    cls = rng.integers(1, 3, n)
+    words = maxent.word_table(rng.integers(0, 5, (maxent.PREV, n + 1)).astype(float), count, cls)
+    tree = maxent.Tree(cls, count, words, rng.integers(1, 9, 32))
+    rest = rng.integers(1, 1 << 63, 4000).astype(np.uint64)
+    _, one = np.unique(maxent.leaves(rest, 1), return_index=True)
+    assert len(one) == 32
+    tokens, at = np.append(vocab, rest[one]), np.append(np.arange(n), np.full(32, n))
+    for scale in (0, 1):
+        w = (scale * rng.normal(size=(1 << 14, maxent.CLASSES))).astype(np.float32)
+        token, node, y, row = tree.steps(at, tokens, np.full(len(at), 5))
+        z = maxent.class_logits(w, maxent.rows_at(np.repeat(np.arange(5, dtype=np.uint64)[None], len(token), 0), node, 14)) + tree.start[row]
+        root = 1 / maxent.softmax(z[:1].copy())[0]
+        lp = np.log(maxent.softmax(z)[np.arange(len(y)), y])
+        within = np.exp(np.bincount(token, lp, len(at))) * root[tree.of[at]]
+        for c in set(tree.of[at].tolist()):
+            assert within[tree.of[at] == c].sum() == pytest.approx(1, abs=1e-3)
+        if not scale:
+            assert np.allclose(np.log10(within[:n]), words[5], atol=1e-3)
+
+
 # --- classifiers
 
 

@@ -3,14 +3,19 @@
 The ``VOCAB`` most frequent words are put into classes by the words they follow (k-means over co-occurrence rows); all other
 words are one class of their own. A token's log probability is that of its class plus that of the word in it:
 
-* class: softmax over hashed features of the context (previous word, the word before it, both, and the word three back),
-  trained by distributed updates: in each of ``ROUNDS`` rounds every task runs Adagrad over its share of that round's
-  documents, and the tasks' changes of each feature row are averaged by how often the task saw the row;
-* frequent word: softmax with the word's bias and a feature of the previous word's bucket, whose weights are set from counts;
-* other word: its smoothed count among all such words, one unit for all unseen words. So all words' probabilities sum to 1.
+* class: softmax over hashed features of the context (previous word, the word before it, both, and the word three back);
+* word in its class: the same softmax over the same features at each step down a tree of ``CLASSES`` branches, whose rows are
+  hashed with the tree's node. A step starts from what counts say of its branches after the previous word's bucket (see
+  ``word_table``) and is moved from there by its features. Frequent words are leaves of their own; the other words go by the
+  digits of their hash, more of them the more words were counted, and a leaf's words share it by smoothed counts, one unit for
+  all unseen words. So all words' probabilities sum to 1.
+
+All weights are trained by distributed updates: in each of ``ROUNDS`` rounds every task runs Adagrad over its share of that
+round's documents, and the tasks' changes of each feature row are averaged by how often the task saw the row. The table has more
+rows the more tokens were counted, up to what a task and the driver can hold.
 
 Counts cover all training documents. Each pass reads texts as word hashes; rare words' counts are met in buckets of hashes, so
-only the table of frequent words and the model, both of fixed size, go to every task.
+only the table of frequent words and the model, both of bounded size, go to every task.
 
 Nulls: a null text is an empty one, scored as its end token; a null doc_id is carried, such rows train. Repeated rows count
 and score each. Texts are taken whole. Empty tables give no rows; extra columns are ignored.
@@ -32,7 +37,8 @@ from .shared import shuffle_parts, stored
 from .text import mix, pieces, utf8, word_hashes
 
 VOCAB, CLASSES, PREV = 8192, 32, 128
-ROW_BITS, ROUNDS, RATE = 14, 3, 0.25
+ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 3, 0.25
+DIGIT, MOST_DIGITS = 5, 3
 FEATURES = 5
 END = np.uint64(0x5851F42D4C957F2D)
 FOLDS, HELD = 7, 2
@@ -165,21 +171,28 @@ def previous(x: np.ndarray, border: np.ndarray, k: int, blank: int) -> np.ndarra
     return out
 
 
-def feature_rows(tokens: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token's context, ``FEATURES`` of them; row 0 is the bias."""
+def feature_hashes(tokens: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Hashes of each token's context, ``FEATURES`` of them; the first is the bias."""
     blank = np.uint64(7)
     p1, p2, p3 = (previous(tokens, border, k, blank) for k in (1, 2, 3))
-    shift, size = np.uint64(64 - ROW_BITS), np.uint64((1 << ROW_BITS) - 1)
-    out = np.zeros((len(tokens), FEATURES), np.int64)
-    for j, h in enumerate((mix(p1), mix(p2 * np.uint64(3)), mix(p3 * np.uint64(5)), mix(p1 * np.uint64(7) + p2 * np.uint64(11))), 1):
-        out[:, j] = np.maximum(h >> shift, 1) & size
+    out = np.zeros((len(tokens), FEATURES), np.uint64)
+    for j, h in enumerate((p1, p2 * np.uint64(3), p3 * np.uint64(5), p1 * np.uint64(7) + p2 * np.uint64(11)), 1):
+        out[:, j] = mix(h)
+    return out
+
+
+def rows_at(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of the weight table for contexts at nodes of the tree; row 0 is the root's bias."""
+    out = mix(hashes + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]) >> np.uint64(64 - bits)
+    out = np.maximum(out.astype(np.int64), 1)
+    out[node == 0, 0] = 0
     return out
 
 
 def class_logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
+    z = w.take(rows[:, 0], 0)
     for j in range(1, FEATURES):
-        z += w[rows[:, j]]
+        z += w.take(rows[:, j], 0)
     return z
 
 
@@ -244,45 +257,137 @@ def word_table(cooc: np.ndarray, count: np.ndarray, cls: np.ndarray) -> np.ndarr
     return np.log10((n + pull * prior) / (per[:, cls] + pull)).astype(np.float32)
 
 
-def train_classes(docs: DataFrame, vocab: np.ndarray, cls: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Weights (row, class) after all rounds."""
+def leaves(tokens: np.ndarray, digits: int) -> np.ndarray:
+    """Leaf of each word that is not frequent: the upper digits of its hash."""
+    return (mix(tokens) >> np.uint64(64 - DIGIT * digits)).astype(np.int64)
+
+
+def rest_mass(counts: DataFrame, vocab: np.ndarray, digits: int) -> np.ndarray:
+    """Counts plus kinds of the words beyond ``vocab`` in each leaf, and one unit for its unseen words."""
+    size = 1 << (DIGIT * digits)
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for _, h, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                rare = lookup(h, vocab) == len(vocab)
+                total += np.bincount(leaves(h[rare], digits), c[rare] + 1, size).astype(np.int64)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+
+    out = np.ones(size, np.int64)
+    for r in counts.mapInArrow(run, "data binary").toLocalIterator():
+        out += np.frombuffer(r["data"], np.int64)
+    return out
+
+
+class Tree:
+    """Steps from the root to each word: nodes, digits, and the logits that a step starts from."""
+
+    def __init__(self, cls: np.ndarray, count: np.ndarray, words: np.ndarray, mass: np.ndarray):
+        n = len(cls)
+        self.of, self.size, self.mass = np.append(cls, 0), n, mass
+        self.digits = (len(mass).bit_length() - 1) // DIGIT
+        depth = max(1, math.ceil(math.log(max(n, 2), CLASSES)))
+        self.node, self.digit = np.full((n, depth), -1), np.zeros((n, depth), np.int64)
+        inner = 1
+        for c in range(1, CLASSES):
+            at = np.flatnonzero(cls == c)
+            at = at[np.argsort(-count[at], kind="stable")]
+            steps = next(d for d in range(depth + 1) if CLASSES**d >= len(at))
+            rank = np.arange(len(at))
+            for d in range(steps):
+                above, place = np.divmod(rank // CLASSES ** (steps - 1 - d), CLASSES)
+                self.node[at, d], self.digit[at, d] = inner + above, place
+                inner += int(above.max()) + 1
+        self.inner = inner
+        start = np.full((inner, PREV, CLASSES), -1e4, np.float32)
+        start[0] = 0
+        used = self.node >= 0
+        key = (self.node * CLASSES + self.digit)[used]
+        for p in range(PREV if len(key) else 0):
+            share = np.repeat(10.0 ** words[p].astype(float), used.sum(1))
+            got = np.bincount(key, share, inner * CLASSES).reshape(inner, CLASSES)
+            whole = got.sum(1, keepdims=True)
+            got = np.divide(got, whole, out=np.zeros_like(got), where=whole > 0)
+            start[:, p][got > 0] = np.log(got[got > 0])
+        rest = []
+        for d in range(self.digits):
+            m = mass.reshape(CLASSES**d, CLASSES, -1).sum(2)
+            rest.append(np.log(m / m.sum(1, keepdims=True)))
+        self.start = np.concatenate([start.reshape(-1, CLASSES), *rest]).astype(np.float32)
+
+    def steps(self, at: np.ndarray, tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, node, digit, row of ``start``) of every step to the tokens; ``at`` is their place among the frequent words."""
+        token, node, digit, row = [np.arange(len(at))], [np.zeros(len(at), np.int64)], [self.of[at]], [before]
+        usual, rare = np.flatnonzero(at < self.size), np.flatnonzero(at == self.size)
+        for d in range(self.node.shape[1]):
+            k = usual[self.node[at[usual], d] >= 0]
+            node.append(self.node[at[k], d])
+            token.append(k)
+            digit.append(self.digit[at[k], d])
+            row.append(node[-1] * PREV + before[k])
+        leaf, base = leaves(tokens[rare], self.digits), 0
+        for d in range(self.digits):
+            above, place = np.divmod(leaf >> (DIGIT * (self.digits - 1 - d)), CLASSES)
+            token.append(rare)
+            node.append(self.inner + base + above)
+            digit.append(place % CLASSES)
+            row.append(self.inner * PREV + base + above)
+            base += CLASSES**d
+        return tuple(np.concatenate(x) for x in (token, node, digit, row))
+
+
+def row_bits(total: int) -> int:
+    """Bits of the weight table's rows: about a row for 16 tokens, as far as memory goes."""
+    return min(max((total // 16).bit_length(), ROW_BITS), MOST_ROW_BITS)
+
+
+def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, root: np.ndarray, bits: int) -> np.ndarray:
+    """Weights (row, digit) after all rounds. A task for each core: each sends its changes of the whole table."""
     sc = docs.sparkSession.sparkContext
-    w = np.zeros((1 << ROW_BITS, CLASSES), np.float32)
-    w[0] = start
-    of = np.append(cls, 0)
-    step = (1 << ROW_BITS) // 16
+    w = np.zeros((1 << bits, CLASSES), np.float32)
+    w[0] = root
+    step = 1 << 10
+    docs = docs.select("doc_id", "text").coalesce(max(sc.defaultParallelism, 1))
+    fixed = sc.broadcast((vocab, bucket, tree))
     for round_ in range(ROUNDS):
-        sent = sc.broadcast(w)  # of fixed size
+        sent = sc.broadcast(w)
 
         def run(batches, round_=round_, sent=sent):
             from pyspark import TaskContext
 
+            vocab, bucket, tree = fixed.value
             w0 = sent.value
             w, seen = w0.copy(), np.zeros(len(w0), np.int64)
             speed = np.full(len(w0), 1.0, np.float32)
             for b in batches:
                 for _, tokens, border in token_pieces(b, 1, _train_rows(b, round_)):
-                    target, rows = of[lookup(tokens, vocab)], feature_rows(tokens, border)
-                    for i in range(0, len(tokens), 8192):
-                        r, y = rows[i : i + 8192], target[i : i + 8192]
-                        g = softmax(class_logits(w, r))
+                    at, hashes = lookup(tokens, vocab), feature_hashes(tokens, border)
+                    before = previous(bucket[at], border, 1, PREV - 1)
+                    for i in range(0, len(tokens), 4096):
+                        token, node, y, row = tree.steps(at[i : i + 4096], tokens[i : i + 4096], before[i : i + 4096])
+                        r = rows_at(hashes[i + token], node, bits)
+                        g = softmax(class_logits(w, r) + tree.start[row])
                         g[np.arange(len(y)), y] -= 1
                         flat = r.ravel()
-                        o = np.argsort(flat, kind="stable")
+                        o = np.argsort(flat)
                         first = np.flatnonzero(np.concatenate([[True], flat[o][1:] != flat[o][:-1]]))
-                        total = np.add.reduceat(g[o // FEATURES], first)
+                        total = np.add.reduceat(g.take(o // FEATURES, 0), first)
                         which, n = flat[o[first]], np.diff(np.append(first, len(flat)))
                         total /= np.sqrt(n)[:, None]  # between the mean and the sum of a row's updates
                         speed[which] += (total * total).mean(1)
                         w[which] -= RATE * total / np.sqrt(speed[which])[:, None]
                         seen[which] += n
-            change = (w - w0) * seen[:, None]
             part = TaskContext.get().partitionId()
-            body = np.concatenate([change, seen[:, None]], 1).astype(np.float32)
             for k in range(0, len(w), step):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([body[k : k + step].tobytes()], pa.binary())], ["part", "block", "data"])
+                n = seen[k : k + step, None]
+                if n.any():
+                    body = np.concatenate([(w[k : k + step] - w0[k : k + step]) * n, n], 1).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "block", "data"])
 
-        got = sum_blocks(docs.select("doc_id", "text").mapInArrow(run, "part int, block int, data binary"), "<f4")
+        got = sum_blocks(docs.mapInArrow(run, "part int, block int, data binary"), "<f4")
         w = w.copy()
         for k, a in got.items():
             a = a.reshape(-1, CLASSES + 1)
@@ -306,18 +411,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = word_table(cooc, count, cls)
     of = np.append(cls, 0)
     mass = np.bincount(of, np.append(count, total - count.sum() + 1), CLASSES)
-    w = train_classes(docs, vocab, cls, np.log((mass + 1) / (mass + 1).sum()).astype(np.float32))
+    digits = next((d for d in range(1, MOST_DIGITS) if 1024 * CLASSES**d >= kinds), MOST_DIGITS)
+    tree, bits = Tree(cls, count, words, rest_mass(counts, vocab, digits)), row_bits(total)
+    w = train(docs, vocab, bucket, tree, np.log((mass + 1) / (mass + 1).sum()).astype(np.float32), bits)
 
     buckets = max(shuffle_parts(spark), 12)
     base_norm = math.log10(total + kinds + 1)
-    rest_norm = math.log10(max(total - int(count.sum()) + kinds - len(vocab) + 1, 1))
     top_log = np.log10(count + 1.0)
-    model = spark.sparkContext.broadcast((w, words))  # of fixed size
+    model = spark.sparkContext.broadcast((w, tree))  # of bounded size
 
     def send(batches):
         from pyspark import TaskContext
 
-        w, words = model.value
+        w, tree = model.value
+        leaf_log = np.log10(tree.mass)
         part, k = TaskContext.get().partitionId(), 0
         names = ["uid", "bucket", "a", "b", "c", "d", "e"]
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
@@ -328,19 +435,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 at = lookup(tokens, vocab)
                 doc = np.repeat(np.arange(n), np.diff(border))
                 usual = at < len(vocab)
-                cl = of[at]
-                lp = np.empty(len(tokens), np.float64)
-                feats = feature_rows(tokens, border)
-                for i in range(0, len(tokens), 16384):
-                    z = class_logits(w, feats[i : i + 16384])
+                lp = np.zeros(len(tokens), np.float64)
+                hashes, before = feature_hashes(tokens, border), previous(bucket[at], border, 1, PREV - 1)
+                for i in range(0, len(tokens), 8192):
+                    token, node, y, row = tree.steps(at[i : i + 8192], tokens[i : i + 8192], before[i : i + 8192])
+                    z = class_logits(w, rows_at(hashes[i + token], node, bits)) + tree.start[row]
                     m = z.max(1)
                     np.exp(z - m[:, None], out=(e := np.empty_like(z)))
-                    lp[i : i + 16384] = z[np.arange(len(z)), cl[i : i + 16384]] - m - np.log(e.sum(1))
+                    got = z[np.arange(len(z)), y] - m - np.log(e.sum(1))
+                    lp[i : i + 8192] = np.bincount(token, got, len(lp[i : i + 8192]))
                 lp /= math.log(10)
-                before = previous(bucket[at], border, 1, PREV - 1)
-                if len(vocab):
-                    lp[usual] += words[before[usual], at[usual]]
-                lp[~usual] -= rest_norm
+                lp[~usual] -= leaf_log[leaves(tokens[~usual], tree.digits)]
                 score = np.bincount(doc, lp, n)
                 base = np.bincount(doc[usual], top_log[at[usual]], n)
                 known = np.bincount(doc[usual], minlength=n)
