@@ -99,3 +99,21 @@ def test_paired_runs_must_agree(spark):
     a, b = (spark.createDataFrame([(k, 1)], "id int, exact int") for k in (1, 2))
     with pytest.raises(Exception, match="different items"):
         S.paired_bootstrap(a, b, "exact", "id", 3).collect()
+
+
+def test_registered_bootstraps_draw_2000_times(spark, tmp_path):
+    import hashlib
+
+    from utterloom.plans import queries as own
+
+    rows = [(k * 3, k % 3 % 2) for k in range(25)]
+    spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    altered = {r["doc_id"] for r in spark.createDataFrame(rows, "doc_id long, quality int").filter(f"{own.ALTERED} = 0").collect()}
+    a = [q for _, q in rows]
+    b = [1 - q if i in altered else q for i, q in rows]
+    n = len(rows)
+    draws = [[int(hashlib.md5(f"7:{rep}:{pos}".encode()).hexdigest()[:8], 16) % n for pos in range(n)] for rep in range(2000)]
+    for name, f in (("q_bootstrap_ci_2000", lambda d: sum(a[k] for k in d) / n), ("q_paired_bootstrap_2000", lambda d: sum(b[k] for k in d) / n - sum(a[k] for k in d) / n)):
+        v = sorted(map(f, draws))
+        got = own.QUERIES[name](spark, str(tmp_path)).first()
+        assert (got["draws"], got["low"], got["high"]) == (2000, pytest.approx(v[49]), pytest.approx(v[1949]))

@@ -325,6 +325,22 @@ def q_paired_bootstrap(spark, sf_dir):
     return S.paired_bootstrap(a, b, "exact", "doc_id", 40, "7")
 
 
+#: The draws of the operators' reference; the queries above draw 40, as their SQL does.
+N_BOOT = 2000
+
+
+@query()
+def q_bootstrap_ci_2000(spark, sf_dir):
+    return S.bootstrap(read(spark, sf_dir, "labels").withColumnRenamed("quality", "exact"), "exact", "doc_id", N_BOOT, "7")
+
+
+@query()
+def q_paired_bootstrap_2000(spark, sf_dir):
+    a = read(spark, sf_dir, "labels").withColumnRenamed("quality", "exact")
+    b = a.withColumn("exact", F.when(F.expr(ALTERED) == 0, 1 - F.col("exact")).otherwise(F.col("exact")))
+    return S.paired_bootstrap(a, b, "exact", "doc_id", N_BOOT, "7")
+
+
 RATED = f"SELECT doc_id % 4 AS grp, quality = 0 AS a, CASE WHEN {ALTERED} = 0 THEN quality <> 0 ELSE quality = 0 END AS b FROM labels"
 
 
