@@ -392,3 +392,21 @@ def test_urls(spark, pages):
     seen = spark.createDataFrame([(k, 0) for k in range(40)] + [(100 + k, 1) for k in range(40)], "page_id long, good int")
     verdict = {r["page_id"]: r["verdict"] for r in urls.judge(many, seen).collect()}
     assert verdict[49] == "block" and verdict[149] == "allow"
+
+
+def test_piecewise_ids_are_the_tokenizers():
+    enc, r = packing.Encoder(tokenizer_path()), random.Random(1)
+    assert enc.fine
+    alphabet = list("abXYZ019 '' ''s're'LL.,;!-_ \t\n\r\x0b\x0c\x1c\x7f\x85\xa0éÉñßàÿ×÷ªº²¼µıſĳǅΣς한국어漢字かな") + ["'s", "'t ", "\u0130", "\u0301", "\u0344", "\u0387", "\u2028", "\u3000", "\ufb01", "\u2460"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(8000)] + [None, "", "x" * 5000, "é" * 300 + " ×÷ a×b"]
+    import pyarrow as pa
+
+    for memory in (packing.MEMORY, 0):
+        for k in range(0, len(texts), 3000):
+            if not memory:
+                enc.clear()
+            data, off = packing.utf8(pa.array(texts[k : k + 3000]))
+            ids, n = enc.encode(data, off, 1)
+            upto = np.append(0, np.cumsum(n))
+            for t, a, b in zip(texts[k : k + 3000], upto, upto[1:], strict=False):
+                assert ids[a:b].tolist() == [*enc.tok.encode(t or "", add_special_tokens=False).ids, 1]

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import NOT_LETTER, mix, ngram_hashes, pieces, utf8, word_hashes
 
 GRAM, THRESHOLD = 3, 0.45
@@ -175,7 +176,7 @@ def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(z, types, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PAIRS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), PAIRS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import sum_blocks
-from .shared import shuffle_parts, stored
+from .shared import lean, shuffle_parts, stored
 from .text import mix, pieces, utf8, word_hashes
 
 VOCAB, CLASSES, PREV = 8192, 32, 128
@@ -113,8 +113,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([h.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["bucket", "h", "c"])
 
     schema = "bucket int, h binary, c binary"
-    sent = docs.select("doc_id", "text").mapInArrow(send, schema)
-    return stored(sent.repartition(buckets, "bucket").mapInArrow(meet, schema), "counts")
+    sent = docs.select("doc_id", "text").mapInArrow(lean(send), schema)
+    return stored(sent.repartition(buckets, "bucket").mapInArrow(lean(meet), schema), "counts")
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def frequent(counts: DataFrame, most: int = VOCAB) -> tuple[np.ndarray, np.ndarr
                 top = np.lexsort((h, -c))[:most]
                 yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(c[top]), pa.array([int(c.sum())] + [0] * (len(top) - 1)), pa.array([len(c)] + [0] * (len(top) - 1))], ["h", "c", "n", "v"])
 
-    rows = stored(counts.mapInArrow(run, "h long, c long, n long, v long"), "frequent")
+    rows = stored(counts.mapInArrow(lean(run), "h long, c long, n long, v long"), "frequent")
     n, v = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     top = rows.orderBy(F.desc("c"), "h").limit(most).select("h", "c").toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
@@ -221,7 +221,7 @@ def cooccurrence(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray) -> np.n
         for p in range(0, PREV, 8):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([p], pa.int32()), pa.array([total[p : p + 8].tobytes()], pa.binary())], ["part", "block", "data"])
 
-    got = sum_blocks(docs.select("doc_id", "text").mapInArrow(run, "part int, block int, data binary"), "<i4")
+    got = sum_blocks(docs.select("doc_id", "text").mapInArrow(lean(run), "part int, block int, data binary"), "<i4")
     out = np.zeros(shape, np.float64)
     for p, a in got.items():
         out[p : p + 8] = a.reshape(-1, shape[1])
@@ -277,7 +277,7 @@ def rest_mass(counts: DataFrame, vocab: np.ndarray, digits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
 
     out = np.ones(size, np.int64)
-    for r in counts.mapInArrow(run, "data binary").toLocalIterator():
+    for r in counts.mapInArrow(lean(run), "data binary").toLocalIterator():
         out += np.frombuffer(r["data"], np.int64)
     return out
 
@@ -387,7 +387,7 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
                     body = np.concatenate([(w[k : k + step] - w0[k : k + step]) * n, n], 1).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "block", "data"])
 
-        got = sum_blocks(docs.mapInArrow(run, "part int, block int, data binary"), "<f4")
+        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f4")
         w = w.copy()
         for k, a in got.items():
             a = a.reshape(-1, CLASSES + 1)
@@ -461,7 +461,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 out += [(uid, q, h[o[i:j]].tobytes(), d[o[i:j]].astype(np.int32).tobytes(), None, None, None) for q, i, j in zip(range(buckets), cut, cut[1:], strict=False) if i < j]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    sent = stored(docs.mapInArrow(send, "uid long, bucket int, a binary, b binary, c binary, d binary, e binary"), "scored")
+    sent = stored(docs.mapInArrow(lean(send), "uid long, bucket int, a binary, b binary, c binary, d binary, e binary"), "scored")
 
     def find(batches):
         table, asked = {}, {}
@@ -482,7 +482,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     rare = sent.filter("bucket IS NOT NULL").select("bucket", "uid", F.col("a").alias("x"), F.col("b").alias("y"))
     known = counts.select("bucket", F.lit(None).cast("long").alias("uid"), F.col("h").alias("x"), F.col("c").alias("y"))
-    found = rare.unionByName(known).repartition(buckets, "bucket").mapInArrow(find, "uid long, a binary, b binary, c binary")
+    found = rare.unionByName(known).repartition(buckets, "bucket").mapInArrow(lean(find), "uid long, a binary, b binary, c binary")
 
     def join(batches):
         base, more = {}, {}
@@ -505,6 +505,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     full = sent.filter("bucket IS NULL").select("uid", "a", "b", "c", "d", "e")
     found = found.select("uid", "a", "b", "c", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("e"))
-    out = full.unionByName(found).repartition(buckets, "uid").mapInArrow(join, OUT)
+    out = full.unionByName(found).repartition(buckets, "uid").mapInArrow(lean(join), OUT)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
     return out.withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean
 from .text import utf8
 
 BLOCKS, FPS, BINS = 64, 25, 32
@@ -391,7 +392,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 rows.append({"doc_id": i} | describe(raw[off[k] : off[k + 1]]))
             yield pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), OUT)
 
 
 def clip_rows(docs: DataFrame) -> DataFrame:

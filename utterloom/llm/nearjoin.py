@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, sum_blocks
-from .shared import shuffle_parts, stored
+from .shared import lean, shuffle_parts, stored
 from .text import mix, pieces, shingle_sets, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -89,7 +89,7 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
         cols = [none, none, none, [part] * k, list(range(k)), [zlib.compress(counts[i * BLOCK : (i + 1) * BLOCK].tobytes(), 1) for i in range(k)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, part int, block int, data binary"), "profile")
+    return stored(docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, fp long, part int, block int, data binary"), "profile")
 
 
 def choose_matches(order: np.ndarray, excess: np.ndarray, percent: int) -> tuple[int, int]:
@@ -187,8 +187,8 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
                 k = len(pairs)
                 yield pa.RecordBatch.from_arrays([blank(k), blank(k), blank(k), pa.array(pairs[:, 2]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared.astype(np.int64))], names)
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, t binary, f binary, n binary, l binary")
-    met = sent.repartition(buckets, "bucket").mapInArrow(meet, "token long, fp long, n long, l long, a long, b long, shared long")
+    sent = docs.select("text").mapInArrow(lean(send), "bucket int, t binary, f binary, n binary, l binary")
+    met = sent.repartition(buckets, "bucket").mapInArrow(lean(meet), "token long, fp long, n long, l long, a long, b long, shared long")
     return stored(met, "postings")
 
 
@@ -216,7 +216,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([raw[k : k + BLOOM_BLOCK].tobytes()], pa.binary())], ["part", "block", "data"])
 
     raw = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    wanted = nodes.filter("doc_id IS NOT NULL").select("fp", "doc_id").mapInArrow(fill, "part int, block int, data binary")
+    wanted = nodes.filter("doc_id IS NOT NULL").select("fp", "doc_id").mapInArrow(lean(fill), "part int, block int, data binary")
     for k, a in sum_blocks(wanted, "u1", add_up=np.bitwise_or).items():
         raw[k : k + BLOOM_BLOCK] = a
     sent = docs.sparkSession.sparkContext.broadcast(raw)  # 2 MB, of fixed size
@@ -238,7 +238,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
 
-    return stored(docs.select("text", "doc_id").mapInArrow(run, "fp long, s binary"), "nodesets")
+    return stored(docs.select("text", "doc_id").mapInArrow(lean(run), "fp long, s binary"), "nodesets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     other = pairs.select("a", "b").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     full = other.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
-    return stored(full.mapInArrow(run, "a long, b long"), "links")
+    return stored(full.mapInArrow(lean(run), "a long, b long"), "links")
 
 
 def cold_pairs(rest: DataFrame, percent: int) -> DataFrame:

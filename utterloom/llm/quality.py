@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
 from .text import hash_spans, pieces, spans, utf8
 
 CUT, KEEP = 0.7, 0.99
@@ -98,7 +99,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame) -> np.ndarray:
             for _, x in feature_batches(b, 0):
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "x binary").collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(lean(run), "x binary").collect()
     return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, STATS + TRIGRAMS)
 
 
@@ -205,7 +206,7 @@ def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     score[a : a + len(x)] = sigmoid(model[0].logits(x) + model[1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, stored
-from .text import mix, utf8
+from .shared import KEPT, lean, shuffle_parts, stored
+from .text import mix, power_table, utf8
 
 WINDOW, GRAM, WIDTH = 100, 16, 25
 SECTION = 1 << 19
@@ -34,21 +34,13 @@ BATCH = 1 << 20
 
 _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
-_pow = _inv = None
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """_B**k and its inverse, modulo 2**64, for k up to a section's length."""
-    global _pow, _inv
-    if _pow is None:
-        n, out = SECTION + 2 * WINDOW + 2, []
-        for base in (_B, _BI):
-            p = np.ones(1, np.uint64)
-            while len(p) < n:
-                p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-            out.append(p[:n])
-        _pow, _inv = out
-    return _pow, _inv
+    if __name__ not in KEPT:
+        KEPT[__name__] = tuple(power_table(SECTION + 2 * WINDOW + 2, base) for base in (_B, _BI))
+    return KEPT[__name__]
 
 
 def words8(data: np.ndarray) -> np.ndarray:
@@ -315,8 +307,8 @@ def settle_equal_segments(docs: DataFrame) -> DataFrame:
                 yield _range_batch(rid[many], pos[many], count[many], h[many])
 
     schema = "bucket int, h binary, c binary, rid binary, pos binary, count binary"
-    sent = docs.mapInArrow(send, schema).repartition(buckets, F.coalesce("bucket", F.hash("rid")))
-    return stored(sent.mapInArrow(meet, RANGE), "segments")
+    sent = docs.mapInArrow(lean(send), schema).repartition(buckets, F.coalesce("bucket", F.hash("rid")))
+    return stored(sent.mapInArrow(lean(meet), RANGE), "segments")
 
 
 def compare_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -375,8 +367,8 @@ def compare_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     yield _range_batch(r, p, n)
                 i = k
 
-    sent = docs.join(by_doc, "rid").select("rid", "text", "want").mapInArrow(fetch, "bucket int, rid long, pos binary, count binary, m binary, body binary")
-    return stored(sent.repartition(buckets, "bucket").mapInArrow(compare, RANGE), "repeats")
+    sent = docs.join(by_doc, "rid").select("rid", "text", "want").mapInArrow(lean(fetch), "bucket int, rid long, pos binary, count binary, m binary, body binary")
+    return stored(sent.repartition(buckets, "bucket").mapInArrow(lean(compare), RANGE), "repeats")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -435,7 +427,7 @@ def trimmed(docs: DataFrame) -> DataFrame:
             old = [c for j, c in enumerate(b.columns) if j != k_gone]
             yield pa.RecordBatch.from_arrays([*old, *(pa.array(cols[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(cols["kept"], pa.binary())], names=[f.name for f in schema])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -18,16 +18,25 @@ LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_powers = np.ones(1, np.uint64)
+_ROW = 4096
 
 
-def _power_table(n: int) -> np.ndarray:
-    """_BASE**k modulo 2**64 for k < n."""
-    global _powers
-    while len(_powers) < n:
-        step = np.uint64(pow(_BASE, len(_powers), 1 << 64))
-        _powers = np.concatenate([_powers, _powers * step])
-    return _powers
+def power_table(n: int, base: int = _BASE) -> np.ndarray:
+    """base**k modulo 2**64 for k < n, at least."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out
+
+
+_POWERS = power_table(_ROW)
+
+
+def _powers(k: np.ndarray, most: int) -> np.ndarray:
+    """_BASE**k modulo 2**64 for k < most: by a table of rows, so that a word of any length needs little memory."""
+    if most <= _ROW:
+        return _POWERS[k]
+    return _POWERS[k % _ROW] * power_table(most // _ROW + 1, pow(_BASE, _ROW, 1 << 64))[k // _ROW]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +100,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lut: np.n
     within = np.arange(int(lens.sum())) - np.repeat(at, lens)
     b = lut[data[np.repeat(starts, lens) + within]].astype(np.uint64)
     b += np.uint64(1)
-    b *= _power_table(int(lens.max()))[within]
+    b *= _powers(within, int(lens.max()))
     return mix(np.add.reduceat(b, at) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .text import LOWER, NOT_LETTER, hash_spans, mix, pieces, spans, utf8
 
 CUT, FOLDS, HELD = 0.7, 3, 1
@@ -364,6 +365,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = np.concatenate([*score_pieces(sent.value, b, 1), np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
 
-    s = docs.mapInArrow(run, "doc_id long, score double")
+    s = docs.mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

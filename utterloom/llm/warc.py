@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored
+from .shared import lean, new_path, stored
 
 ROLL = 256 << 20
 READ = 4 << 20
@@ -227,7 +227,7 @@ def write(plan: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
         if files:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*files, strict=True)], ["path", "records", "bytes"])
 
-    return stored(plan.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return stored(plan.mapInArrow(lean(run), "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
@@ -256,7 +256,7 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFra
             yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n).mapInArrow(run, schema)
+    return manifest.select("path").repartition(n).mapInArrow(lean(run), schema)
 
 
 def round_trip(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
