@@ -410,3 +410,37 @@ def test_piecewise_ids_are_the_tokenizers():
             upto = np.append(0, np.cumsum(n))
             for t, a, b in zip(texts[k : k + 3000], upto, upto[1:], strict=False):
                 assert ids[a:b].tolist() == [*enc.tok.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_packed_numbers():
+    x = np.random.default_rng(3).integers(0, 1 << 48, 1000, dtype=np.uint64)
+    assert (nearjoin.unpacked48(nearjoin.packed48(x)) == x).all()
+    for big in (5, 1 << 16):
+        n = np.array([1, 2, big], np.int32)
+        assert len(nearjoin.short_sizes(n)) == (6 if big == 5 else 12)
+
+
+def test_a_hot_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    r, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(120)]
+    for i in range(nearjoin.HOT + 40):  # two families that share a hot passage, members linked in chains
+        family = base[:60] + [f"f{i % 2}x{k}" for k in range(240)]
+        for _ in range(2):
+            family[r.randrange(70, 290)] = f"e{r.randrange(10**9)}"
+        rows.append((i, " ".join(family)))
+    monkeypatch.setattr(nearjoin, "BLOCK_NODES", 16)
+    got = nearjoin.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert by_id(got) == by_id(brute_classes(rows))
+
+
+def test_the_join_without_a_filter(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(nearjoin, "BLOOM_MOST", 0)
+    assert by_id(nearjoin.near_classes(docs).collect()) == by_id(brute_classes(rows))
+
+
+def test_components_of_chains(spark):
+    from utterloom.llm.graph import components
+
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 103), (103, 101), (101, 100), (7, 7)]
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(1, 41)} | {103: 100, 101: 100}

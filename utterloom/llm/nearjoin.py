@@ -3,7 +3,8 @@
 A document's set is its distinct 5-word shingles, ordered by estimated frequency (a table of fixed size, counted over all
 documents), rare ones first. The l-prefix is the first |x| - ceil(t |x|) + l shingles; a pair at or above threshold t shares at
 least min(l_x, l_y) shingles of its prefixes. Each document takes the l that makes its postings and its expected
-candidates (the prefix's excess frequencies over l) cheapest, so documents of frequent shingles need more matches.
+candidates (the prefix's excess frequencies over l) cheapest, so documents of frequent shingles need more matches. A bucket of the
+table counts many shingles; only what stands out of that noise (``NOISE`` deviations above the middle bucket) is excess.
 
 Documents with equal sets are one node, known by a 64-bit fingerprint. A first round verifies each node against one hub,
 the node with which it shares most prefix shingles; a second verifies all further candidates whose nodes are not yet in one
@@ -33,7 +34,9 @@ from .text import mix, pieces, shingle_sets, utf8, word_hashes
 WORDS, PERCENT = 5, 75
 COUNT_BITS, BLOCK = 22, 1 << 15
 MATCHES = (1, 2, 4, 8, 12, 16, 24, 32)
-BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 24, 3, 1 << 17
+#: The filter of wanted documents: bits for one of them, its least and largest size as powers of two (the largest is 32 MB), bytes of a block.
+BLOOM_SHARE, BLOOM_LEAST, BLOOM_MOST, BLOOM_PROBES, BLOOM_BLOCK = 16, 20, 28, 3, 1 << 17
+NOISE = 3.0
 #: A token of more open nodes than this is hot; hot nodes are compared in blocks of so many.
 HOT, BLOCK_NODES = 64, 512
 #: Cost of a posting and of a candidate, in the same unit.
@@ -56,6 +59,25 @@ def doc_sets(batch: pa.RecordBatch, text: int, words: int) -> Iterator[tuple[int
             yield a + k, s
 
 
+def packed48(x: np.ndarray) -> bytes:
+    """The lower six bytes of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def bytes_of(x: np.ndarray) -> bytes:
+    return x.tobytes()
+
+
+def short_sizes(n: np.ndarray) -> bytes:
+    return (n.astype(np.uint16) if n.max(initial=0) < 1 << 16 else n.astype(np.int32)).tobytes()
+
+
 def _needed(n: np.ndarray | int, percent: int):
     """Least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -67,7 +89,7 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        counts, part = np.zeros(1 << COUNT_BITS, np.int32), TaskContext.get().partitionId()
+        counts, part = np.zeros(1 << COUNT_BITS, np.int64), TaskContext.get().partitionId()
         names = ["doc_id", "n", "fp", "part", "block", "data"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for b in batches:
@@ -77,10 +99,10 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 held.append(s)
                 size += len(s)
                 if size > 1 << 18:
-                    counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                    np.add.at(counts, (np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
                     held, size = [], 0
             if held:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, (np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             none = [None] * len(b)
             cols = [b.column(0).cast(pa.int64()), n, fp, none, none, none]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -110,12 +132,15 @@ def choose_matches(order: np.ndarray, excess: np.ndarray, percent: int) -> tuple
 def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """Stored: prefix postings (token, fp, n, l) of tokens that two nodes or more have, and hub pairs (a, b, shared).
 
-    Postings travel as a few rows of packed arrays for each bucket of tokens; a node is sent once for each batch.
+    Postings travel as a few rows of packed arrays for each bucket of tokens; a node is sent once for each batch. Of a token go the upper
+    48 bits, beside those that its bucket tells: tokens that agree there by chance only make a candidate more. A size goes as 16 bits
+    where all of a row fit.
     """
     spark = docs.sparkSession
     buckets = 2 * max(shuffle_parts(spark), 12)
-    usual = int(np.median(counts))
-    known = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))  # 8 MB, of fixed size
+    usual = float(np.median(counts))
+    usual = int(usual + NOISE * np.sqrt(usual))
+    known = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))  # 16 MB, of fixed size
 
     def send(batches):
         cnt = known.value
@@ -146,16 +171,18 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
             for k0 in range(0, buckets, 64):  # bounded record batches
                 rows = [(k, cut[k], cut[k + 1]) for k in range(k0, min(k0 + 64, buckets)) if cut[k] < cut[k + 1]]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in rows], pa.binary()) for x in (t, f, n, m))], ["bucket", "t", "f", "n", "l"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([pack(x[i:j]) for _, i, j in rows], pa.binary()) for x, pack in ((t >> np.uint64(16), packed48), (f, bytes_of), (n, short_sizes), (m, bytes_of)))], ["bucket", "t", "f", "n", "l"])
 
     def meet(batches):
         by: dict[int, list] = {}
         for b in batches:
             for bucket, *raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 by.setdefault(bucket, []).append(raw)
-        for raws in by.values():
-            t, f, n, l = (np.concatenate([np.frombuffer(r[k], d) for r in raws]) for k, d in enumerate((np.uint64, np.int64, np.int32, np.int8)))  # noqa: E741
+        for bucket, raws in by.items():
+            t, f, l = (np.concatenate([read(r[k]) for r in raws]) for k, read in ((0, unpacked48), (1, lambda x: np.frombuffer(x, np.int64)), (3, lambda x: np.frombuffer(x, np.int8))))  # noqa: E741
+            n = np.concatenate([np.frombuffer(r[2], np.uint16 if len(r[2]) == 2 * len(r[3]) else np.int32).astype(np.int32) for r in raws])
             raws.clear()
+            t = t << np.uint64(16) | np.uint64(bucket & 0xFFFF)  # one number for one token in whatever bucket
             o = np.lexsort((f, t))
             t, f, n, l = t[o], f[o], n[o], l[o]  # noqa: E741
             keep = np.ones(len(t), bool)
@@ -192,53 +219,65 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
     return stored(met, "postings")
 
 
-def _probes(fp: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+def _probes(fp: np.ndarray, doc_id: np.ndarray, bits: int) -> np.ndarray:
     h = mix(fp.view(np.uint64) ^ mix(doc_id.astype(np.int64).view(np.uint64)))
-    return np.stack([(h >> np.uint64(BLOOM_BITS // 2 * k)) & np.uint64((1 << BLOOM_BITS) - 1) for k in range(BLOOM_PROBES)], 1).astype(np.int64)
-
+    return np.stack([mix(h + np.uint64(k)) >> np.uint64(64 - bits) for k in range(BLOOM_PROBES)], 1).astype(np.int64)
 
-def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it), and of a few more.
 
-    Texts are not shuffled: a Bloom filter of fixed size tells each task which documents it needs. Where it is too full, more sets
-    than needed are kept, and the joins that use them drop those.
-    """
+def wanted_filter(nodes: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a Bloom filter of the nodes' (fp, doc_id)."""
 
     def fill(batches):
         from pyspark import TaskContext
 
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        raw, part = np.zeros((1 << bits) // 8, np.uint8), TaskContext.get().partitionId()
         for b in batches:
-            bits[_probes(*(c.to_numpy(zero_copy_only=False) for c in b.columns)).ravel()] = True
-        raw, part = np.packbits(bits), TaskContext.get().partitionId()
+            p = np.unique(_probes(*(c.to_numpy(zero_copy_only=False) for c in b.columns), bits))
+            np.bitwise_or.at(raw, p >> 3, (1 << (p & 7)).astype(np.uint8))
         for k in range(0, len(raw), BLOOM_BLOCK):
             if raw[k : k + BLOOM_BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([raw[k : k + BLOOM_BLOCK].tobytes()], pa.binary())], ["part", "block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k // BLOOM_BLOCK], pa.int32()), pa.array([raw[k : k + BLOOM_BLOCK].tobytes()], pa.binary())], ["part", "block", "data"])
+
+    raw = np.zeros((1 << bits) // 8, np.uint8)
+    for k, a in sum_blocks(nodes.select("fp", "doc_id").mapInArrow(lean(fill), "part int, block int, data binary"), "u1", add_up=np.bitwise_or).items():
+        raw[k * BLOOM_BLOCK : (k + 1) * BLOOM_BLOCK] = a
+    return raw
+
 
-    raw = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    wanted = nodes.filter("doc_id IS NOT NULL").select("fp", "doc_id").mapInArrow(lean(fill), "part int, block int, data binary")
-    for k, a in sum_blocks(wanted, "u1", add_up=np.bitwise_or).items():
-        raw[k : k + BLOOM_BLOCK] = a
-    sent = docs.sparkSession.sparkContext.broadcast(raw)  # 2 MB, of fixed size
+def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it), and of a few more.
+
+    Texts are not shuffled: a Bloom filter, its size counted, tells each task which documents it needs; the joins that use the sets
+    drop the few others. Of more nodes than the largest filter is for, all sets go by their fingerprints to the nodes.
+    """
+    asked = nodes.filter("doc_id IS NOT NULL")
+    count = asked.count()
+    bits = max(BLOOM_LEAST, (BLOOM_SHARE * count).bit_length())
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_filter(asked, bits)) if bits <= BLOOM_MOST else None
 
     def run(batches):
-        bits = np.unpackbits(sent.value).astype(bool)
+        raw = None if sent is None else sent.value
         for b in batches:
-            ids, fps, sets = b.column(1).cast(pa.int64()).to_pylist(), [], []
+            ids, fps, sets, held = b.column(1).cast(pa.int64()).to_pylist(), [], [], 0
             for i, s in doc_sets(b, 0, words):
                 if not len(s):
                     continue
                 fp = fingerprint(s)
-                if ids[i] is None or bits[_probes(np.array([fp]), np.array([ids[i]]))].all():
-                    fps.append(fp)
-                    sets.append(s.tobytes())
-                if len(sets) >= 1000:
+                if raw is not None and ids[i] is not None:
+                    p = _probes(np.array([fp]), np.array([ids[i]]), bits).ravel()
+                    if not (raw[p >> 3] >> (p & 7) & 1).all():
+                        continue
+                fps.append(fp)
+                sets.append(s.tobytes())
+                held += len(sets[-1])
+                if held >= 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
-                    fps, sets = [], []
+                    fps, sets, held = [], [], 0
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
 
-    return stored(docs.select("text", "doc_id").mapInArrow(lean(run), "fp long, s binary"), "nodesets")
+    sets = docs.select("text", "doc_id").mapInArrow(lean(run), "fp long, s binary")
+    return stored(sets if sent is not None else sets.join(nodes.select("fp"), "fp", "left_semi"), "nodesets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -325,7 +364,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     seen = profile(docs, words)
     rows = seen.filter("block IS NULL").select("doc_id", "n", "fp")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for k, a in sum_blocks(seen.filter("block IS NOT NULL").select("part", "block", "data"), "<i4", packed=True).items():
+    for k, a in sum_blocks(seen.filter("block IS NOT NULL").select("part", "block", "data"), "<i8", packed=True).items():
         counts[k * BLOCK : (k + 1) * BLOCK] = a
     met = shared_postings(docs, counts, words, percent)
     postings = met.filter("token IS NOT NULL").select("token", "fp", "n", "l")

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and what is small enough for a worker.
+SIZE, DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 #: Tables that a worker keeps from task to task, by the module that owns them.
 KEPT: dict[str, object] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -33,7 +35,10 @@ def _tidied(run: Callable[..., Iterator], batches: Iterator) -> Iterator:
 
 def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """``run`` for ``mapInArrow`` in a reused worker: what other operators kept there goes first, and freed memory is given back to the
-    system when the task ends."""
+    system when the task ends. The session's Arrow batches are held to ``BATCH``, unless it has set a size of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(SIZE) == DEFAULT:
+        spark.conf.set(SIZE, BATCH)
 
     def task(batches):
         return _tidied(run, batches)
