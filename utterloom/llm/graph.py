@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(small.filter("u <> v").distinct(), "edges")
         before, size = size, new.count()
         if size == before and not new.join(e, ["u", "v"], "left_anti").limit(1).count():  # the same edges: both sides are distinct
+            discard(e)
             return new
+        discard(e)
         e = new
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, sum_blocks
-from .shared import lean, shuffle_parts, stored
+from .shared import discard, lean, shuffle_parts, stored
 from .text import mix, pieces, shingle_sets, utf8, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -137,7 +137,7 @@ def shared_postings(docs: DataFrame, counts: np.ndarray, words: int, percent: in
     where all of a row fit.
     """
     spark = docs.sparkSession
-    buckets = 2 * max(shuffle_parts(spark), 12)
+    buckets = max(shuffle_parts(spark), 12)  # few, so that a node has several tokens in one and packs well
     usual = float(np.median(counts))
     usual = int(usual + NOISE * np.sqrt(usual))
     known = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))  # 16 MB, of fixed size
@@ -245,7 +245,9 @@ def wanted_filter(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it), and of a few more.
+    """Stored: the sets of ``nodes`` (fp, doc_id of one document that has it), and of a few more: the upper 48 bits of each shingle's hash.
+
+    Two shingles of a pair of sets agree there by chance once in 2^48 / (n * n) pairs, and then the overlap is one too high.
 
     Texts are not shuffled: a Bloom filter, its size counted, tells each task which documents it needs; the joins that use the sets
     drop the few others. Of more nodes than the largest filter is for, all sets go by their fingerprints to the nodes.
@@ -268,7 +270,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     if not (raw[p >> 3] >> (p & 7) & 1).all():
                         continue
                 fps.append(fp)
-                sets.append(s.tobytes())
+                sets.append(packed48(s >> np.uint64(16)))
                 held += len(sets[-1])
                 if held >= 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
@@ -287,7 +289,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = unpacked48(x), unpacked48(y)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
@@ -330,7 +332,7 @@ def hot_links(hot: DataFrame, fetch, percent: int) -> DataFrame:
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("fp")
-        fp, sets = pdf["fp"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        fp, sets = pdf["fp"].to_numpy(np.int64), [unpacked48(s) for s in pdf["s"]]
         size = np.array([len(s) for s in sets], np.float32)
         _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size.astype(int))
@@ -356,7 +358,9 @@ def hot_links(hot: DataFrame, fetch, percent: int) -> DataFrame:
         return pd.DataFrame({"a": fp[label[moved]], "b": fp[moved]})
 
     sets = fetch(node.select("fp"))
-    return stored(dealt.join(sets, "fp").groupBy("c", "i", "j").applyInPandas(compare, "a long, b long"), "hotlinks")
+    out = stored(dealt.join(sets, "fp").groupBy("c", "i", "j").applyInPandas(compare, "a long, b long"), "hotlinks")
+    discard(sets, cluster)
+    return out
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -372,7 +376,10 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     def check(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        return verified(pairs, node_sets(docs, nodes.join(ends, "fp"), words), percent)
+        sets = node_sets(docs, nodes.join(ends, "fp"), words)
+        out = verified(pairs, sets, percent)
+        discard(sets)
+        return out
 
     hubs = met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l")).filter("shared >= l")
     tried = stored(hubs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "tried")
@@ -381,13 +388,17 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     named = postings.join(comp.select(F.col("u").alias("fp"), F.col("v").alias("comp")), "fp", "left")
     named = stored(named.select("token", "fp", "n", "l", F.coalesce("comp", "fp").alias("comp")), "named")
+    discard(met, comp)
     open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi")
     rest = stored(named.join(open_.select("token", (F.col("k") > HOT).alias("hot")), "token"), "open")
+    discard(named)
     hot = rest.filter("hot")
     cold = rest.filter("NOT hot").join(hot.groupBy("fp").agg(F.count("*").alias("h")), "fp", "left").fillna(0, ["h"])
-    more = check(stored(cold_pairs(cold, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest"))
+    new = stored(cold_pairs(cold, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    more = check(new)
     if hot.limit(1).count():
         more = more.union(hot_links(hot, lambda ends: node_sets(docs, nodes.join(ends, "fp"), words), percent))
+    discard(tried, new, rest)
     links = links.union(more)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
