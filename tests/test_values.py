@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from utterloom.functions import records as R
+from utterloom.functions import speech as P
 from utterloom.functions import values as V
 from utterloom.operators import dialogue as D
 from utterloom.operators import scoring as S
@@ -57,13 +58,13 @@ def test_span(text, want):
     ],
 )
 def test_spoken_ids(text, want):
-    assert R.digits_of_spoken_ids(text) == want
+    assert P.digits_of_spoken_ids(text) == want
 
 
 def test_spoken_ids_are_idempotent():
     for t in ("디 일이삼사오육칠 입니다", "육이구일, 칠팔칠칠, 오일육팔", "2287 3시"):
-        once = R.digits_of_spoken_ids(t)
-        assert R.digits_of_spoken_ids(once) == once
+        once = P.digits_of_spoken_ids(t)
+        assert P.digits_of_spoken_ids(once) == once
 
 
 def test_shape(spark):

@@ -66,7 +66,9 @@ def parse_number(text: Column) -> Column:
 
     start = F.struct(zero.alias("total"), zero.alias("section"), null.alias("num"), F.lit(True).alias("ok"))
     end = lambda a: F.when(a["ok"], a["total"] + a["section"] + F.coalesce(a["num"], zero))
-    return F.when(F.size(tokens) > 0, F.aggregate(tokens, start, step, end))
+    read = F.when(F.size(tokens) > 0, F.aggregate(tokens, start, step, end))
+    plain = F.regexp_replace(text, r"(?U)[\s,]", "")
+    return F.when(plain.rlike("^[0-9]+$"), plain.try_cast("long")).otherwise(read)  # most numbers have no unit
 
 
 def norm_amount(v: Column) -> Column:
@@ -187,6 +189,128 @@ def occurs(kind: Column | str, value: Column, text: Column, spoken: Column | boo
     return F.coalesce(_by_kind(kind, {"id": as_id, "text": lambda: norm_text(text).contains(norm)} | listed), F.lit(False))
 
 
+def text_index(text: Column) -> Column:
+    """What a text holds, read once for any number of values: struct(ids, words, runs, amounts, dates, times)."""
+    return F.struct(
+        norm_id(text).alias("ids"), norm_text(text).alias("words"), digit_runs(text).alias("runs"), amounts_in(text).alias("amounts"),
+        dates_in(text).alias("dates"), times_in(text).alias("times"),
+    )
+
+
+def found_at(kind: Column, value: Column, index: Column, spoken: Column | bool = False) -> Column:
+    """``occurs`` over a ``text_index``."""
+    norm = normalize(kind, value)
+    digits = F.regexp_replace(norm, r"(?U)\D", "")
+    inside = (F.length(digits) >= 4) & F.exists(index["runs"], lambda r: r.contains(digits))
+    said = F.lit(spoken) if isinstance(spoken, bool) else spoken
+    out = F.when(kind == "id", index["ids"].contains(norm) | (said & inside)).when(kind == "text", index["words"].contains(norm))
+    for k in ("amount", "date", "time"):
+        out = out.when(kind == k, F.array_contains(index[k + "s"], norm))
+    return F.coalesce(out, F.lit(False))
+
+
+# Words that stand where a value is missing, and marks of a speaker.
+PLACEHOLDERS = ("없음", "해당없음", "알수없음", "모름", "미상", "불명", "미정", "미확인", "미확정", "미제공", "미입력", "미지정", "미언급", "null", "none", "n/a", "-")
+SPEAKER_MARK = r"(?U)(?:상담원|고객)\s*[:：]"
+MOST_CHARS, MOST_TURNS, MOST_TURN_CHARS, MOST_BODY = 4_000, 200, 2_000, 1 << 20
+
+
+def is_placeholder(value: Column) -> Column:
+    return norm_text(value).isin(*PLACEHOLDERS)
+
+
+def has_speaker_mark(text: Column) -> Column:
+    return text.rlike(SPEAKER_MARK)
+
+
+def verification_words(text: Column) -> Column:
+    return text.rlike(VERIFY_WORDS)
+
+
+def has_hangul(text: Column) -> Column:
+    return text.rlike("[가-힣]")
+
+
+def spoken_digit_runs(text: Column) -> Column:
+    """How many runs of four digit names or more a text has."""
+    return F.regexp_count(text, F.lit("[공영일이삼사오육칠팔구]{4,}"))
+
+
+def number_tokens(text: Column) -> Column:
+    """Numbers of a prose text as plain text: minus as "-", no plus, no thousands separators, no sign of a zero.
+
+    Digits joined to Latin letters, underscores or full stops belong to names and versions.
+    """
+    pattern = r"(?<![0-9A-Za-z_.])([+\-−]?)(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![0-9A-Za-z]|\.\d)"
+
+    def plain(hit: Column) -> Column:
+        digits = F.regexp_replace(hit, "[^0-9.]", "")
+        return F.when(hit.rlike("^[-−]") & digits.rlike("[1-9]"), F.concat(F.lit("-"), digits)).otherwise(digits)
+
+    return F.transform(_hits(text, pattern), plain)
+
+
+def fill_digits(template: Column, digits: Column) -> Column:
+    """The template with its digits replaced by ``digits`` one after the other; NULL if their number differs."""
+    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("at"))
+
+    def step(acc: Column, c: Column) -> Column:
+        hole = c.rlike("[0-9]")
+        return F.struct(F.concat(acc["text"], F.when(hole, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("text"), (acc["at"] + hole.cast("int")).alias("at"))
+
+    holes = F.length(F.regexp_replace(template, "[^0-9]", ""))
+    return F.when(holes == F.length(digits), F.aggregate(F.split(template, ""), start, step, lambda a: a["text"]))
+
+
+def one_digit_changed(right: Column, wrong: Column) -> Column:
+    """Place (from 0) of the only character that differs, if it is a digit on both sides; else NULL."""
+    pairs = F.transform(F.arrays_zip(F.split(right, "").alias("a"), F.split(wrong, "").alias("b")), lambda p, i: F.struct(p["a"].alias("a"), p["b"].alias("b"), i.alias("i")))
+    odd = F.filter(pairs, lambda p: p["a"] != p["b"])
+    one = F.get(odd, F.lit(0))
+    return F.when((F.length(right) == F.length(wrong)) & (F.size(odd) == 1) & one["a"].rlike("[0-9]") & one["b"].rlike("[0-9]"), one["i"])
+
+
+def digit_windows(value: Column, size: int = 4) -> Column:
+    """All runs of ``size`` digits of a value's digits, which are one if there are fewer."""
+    d = F.regexp_replace(value, "[^0-9]", "")
+    many = F.transform(F.sequence(F.lit(1), F.length(d) - size + 1), lambda k: F.substring(d, k, F.lit(size)))
+    return F.when(F.length(d) == 0, F.array().cast("array<string>")).when(F.length(d) <= size, F.array(d)).otherwise(F.array_distinct(many))
+
+
+def touches(value: Column, text: Column, size: int = 4) -> Column:
+    """Whether some ``size`` digits of the value stand in a digit run (joined by single blanks or hyphens) of the text."""
+    runs = F.transform(_hits(text, r"\d+(?:[ \-]\d+)*"), lambda r: F.regexp_replace(r, r"\D", ""))
+    return F.exists(digit_windows(value, size), lambda w: F.exists(runs, lambda r: r.contains(w)))
+
+
+def dates_in_order(first: Column, later: Column) -> tuple[Column, Column]:
+    """The two values, swapped if the first is the later date; an unreadable date is the earliest."""
+    a, b = (F.coalesce(norm_date(c), F.lit("")) for c in (first, later))
+    return F.when(a > b, later).otherwise(first), F.when(a > b, first).otherwise(later)
+
+
+def written_form_ok(label: Column, value: Column, formats: dict[str, str]) -> Column:
+    """Whether a value as written (trimmed) has its label's form; labels without one are right."""
+    out = F.lit(True)
+    for name, pattern in formats.items():
+        out = F.when(label == name, F.trim(value).rlike(f"^(?:{pattern})$")).otherwise(out)
+    return out
+
+
+def request_problems(turns: Column, domain: Column, domains: Column) -> Column:
+    """What makes a request unfit: its domain, its number of turns, their length and characters, the whole transcript's length."""
+    names = F.array(F.lit("상담원"), F.lit("고객"))
+    chars = F.aggregate(turns, F.lit(0), lambda n, t: n + F.length(t["speaker"]) + 2 + F.length(t["text"])) + F.size(turns) - 1
+    return F.filter(
+        F.array(
+            F.when(~F.array_contains(domains, domain), "unknown domain"), F.when(~F.size(turns).between(1, MOST_TURNS), "number of turns"),
+            F.when(F.exists(turns, lambda t: ~F.array_contains(names, t["speaker"])), "speaker"), F.when(F.exists(turns, lambda t: F.length(t["text"]) > MOST_TURN_CHARS), "turn too long"),
+            F.when(F.exists(turns, lambda t: one_line(t["text"]).rlike(CONTROLS)), "control characters"), F.when(chars > MOST_CHARS, "transcript too long"),
+        ),
+        lambda p: p.isNotNull(),
+    )
+
+
 def windows_of_digits(text: Column, size: int = 4) -> Column:
     """All windows of ``size`` digits of runs that single blanks or hyphens join."""
     runs = F.transform(_hits(text, r"\d+(?:[ \-]\d+)*"), lambda r: F.regexp_replace(r, r"\D", ""))

@@ -84,23 +84,68 @@ def draw_index(seed: str, rep: Column, pos: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), rep.cast("string"), pos.cast("string"))), 1, 8), 16, 10).cast("long") % n
 
 
-def bootstrap(items: DataFrame, metric: str, order: str, n_boot: int, seed: str = "0", alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a metric over ``n_boot`` draws of as many items, with replacement; undefined draws are dropped.
+def resampled(items: DataFrame, cols: Sequence[str], order: str, n_boot: int, seed: str = "0") -> DataFrame:
+    """(rep, n, sums of ``cols``) of ``n_boot`` draws of as many items, with replacement. ``order`` is a unique column.
 
-    ``items`` has the metric's count columns and a unique ``order``. For the few hundred to thousand items of a test set: the
-    draws table has n_boot times as many rows.
+    For the few hundred to thousand items of a test set: positions are numbered over all items, and the draws table has n_boot times
+    as many rows, summed partially before its only shuffle.
     """
     from pyspark.sql import Window as W
 
-    cols = [c for c in METRICS[metric][0] if c != "n"]
     numbered = items.select((F.row_number().over(W.orderBy(order)) - 1).cast("long").alias("pos"), *(F.col(c).cast("long").alias(c) for c in cols))
     size = items.agg(F.count("*").alias("k"))
     draws = numbered.select(F.col("pos").alias("slot")).crossJoin(F.broadcast(size)).select("slot", "k", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     draws = draws.select("rep", draw_index(seed, F.col("rep"), F.col("slot"), F.col("k")).alias("pos"))
-    reps = draws.join(numbered, "pos").groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols))
+    return draws.join(numbered, "pos").groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols))
+
+
+def bootstrap(items: DataFrame, metric: str, order: str, n_boot: int, seed: str = "0", alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of a metric over ``resampled`` items; undefined draws are dropped."""
+    cols = [c for c in METRICS[metric][0] if c != "n"]
+    reps = resampled(items, cols, order, n_boot, seed)
     return interval(reps.select(METRICS[metric][1](*(F.col(c) for c in METRICS[metric][0])).alias("v")), alpha)
 
 
+def ratio_bootstrap(items: DataFrame, num: str, den: str, order: str, n_boot: int, seed: str = "0", alpha: float = 0.05) -> DataFrame:
+    """Interval of the ratio of two summed columns."""
+    return interval(resampled(items, [num, den], order, n_boot, seed).select(ratio(F.col(num), F.col(den)).alias("v")), alpha)
+
+
+def flag_difference(a: DataFrame, b: DataFrame, flag: str, key: str, n_boot: int, seed: str = "0") -> DataFrame:
+    """One row: diff of b's and a's share of a flag over the same items, its interval, and whether it is above 0."""
+    METRICS.setdefault(f"share_{flag}", ((flag, "n"), ratio))
+    x, y = (df.select(key, F.col(flag).cast("int").alias(flag)) for df in (a, b))
+    share = lambda df, name: df.agg(F.avg(flag).alias(name))
+    i = paired_bootstrap(x, y, f"share_{flag}", key, n_boot, seed)
+    return i.crossJoin(share(x, "_a")).crossJoin(share(y, "_b")).select((F.col("_b") - F.col("_a")).alias("diff"), "low", "high", F.coalesce(F.col("low") > 0, F.lit(False)).alias("passed"))  # one row each
+
+
+CELLS = ("aa", "ab", "ba", "bb")
+
+
+def rating_cells(rows: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """An item's four counts over its facts: both say yes, only a, only b, none. ``a`` and ``b`` are boolean columns, a fact a row."""
+    x, y = F.col(a), F.col(b)
+    return rows.groupBy(item).agg(*(F.count_if(c).alias(n) for n, c in zip(CELLS, (x & y, x & ~y, ~x & y, ~x & ~y), strict=True)))
+
+
+def kappa_bootstrap(cells: DataFrame, item: str, n_boot: int, seed: str = "0") -> DataFrame:
+    """Interval of kappa where whole items are drawn, all their facts together; ``cells`` from ``rating_cells``."""
+    return interval(resampled(cells, CELLS, item, n_boot, seed).select(kappa(*(F.col(c) for c in CELLS)).alias("v")))
+
+
+def kappa_difference(a: DataFrame, b: DataFrame, item: str, n_boot: int, seed: str = "0") -> DataFrame:
+    """One row: kappa(a) - kappa(b) and its interval over the same draws of both; ``a`` and ``b`` from ``rating_cells``."""
+    from .guarded import one_to_one
+
+    named = lambda df, s: df.select(item, *(F.col(c).alias(f"{s}_{c}") for c in CELLS))
+    both = one_to_one(named(a, "x"), named(b, "y"), [item], "the raters have different items")
+    cols = [f"{s}_{c}" for s in "xy" for c in CELLS]
+    diff = lambda: kappa(*(F.col(f"x_{c}") for c in CELLS)) - kappa(*(F.col(f"y_{c}") for c in CELLS))
+    point = both.agg(*(F.sum(c).alias(c) for c in cols)).select(diff().alias("diff"))
+    return point.crossJoin(interval(resampled(both, cols, item, n_boot, seed).select(diff().alias("v"))).select("low", "high"))  # one row each
+
+
 def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """low and high of column v: sorted values at int(alpha/2 * (m-1)) and int((1-alpha/2) * (m-1)); m defined values."""
     from pyspark.sql import Window as W
@@ -113,18 +158,12 @@ def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def paired_bootstrap(a: DataFrame, b: DataFrame, metric: str, key: str, n_boot: int, seed: str = "0", alpha: float = 0.05) -> DataFrame:
     """Interval of metric(b) - metric(a) over the same draws of both; the runs must have the same keys."""
-    from pyspark.sql import Window as W
+    from .guarded import one_to_one
 
     cols = [c for c in METRICS[metric][0] if c != "n"]
-    left = a.select(key, *(F.col(c).cast("long").alias(f"a_{c}") for c in cols), F.lit(1).alias("in_a"))
-    right = b.select(key, *(F.col(c).cast("long").alias(f"b_{c}") for c in cols), F.lit(1).alias("in_b"))
-    both = left.join(right, key, "full_outer")
-    checked = F.when(F.col("in_a").isNull() | F.col("in_b").isNull(), F.raise_error(F.lit("the runs have different items"))).otherwise(F.lit(0))
-    numbered = both.select((F.row_number().over(W.orderBy(key)) - 1 + checked).cast("long").alias("pos"), *(f"{s}_{c}" for s in "ab" for c in cols))
-    size = numbered.agg(F.count("*").alias("k"))
-    draws = numbered.select(F.col("pos").alias("slot")).crossJoin(F.broadcast(size)).select("slot", "k", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    draws = draws.select("rep", draw_index(seed, F.col("rep"), F.col("slot"), F.col("k")).alias("pos"))
-    reps = draws.join(numbered, "pos").groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(f"{s}_{c}").alias(f"{s}_{c}") for s in "ab" for c in cols))
+    side = lambda df, s: df.select(key, *(F.col(c).cast("long").alias(f"{s}_{c}") for c in cols))
+    both = one_to_one(side(a, "a"), side(b, "b"), [key], "the runs have different items")
+    reps = resampled(both, [f"{s}_{c}" for s in "ab" for c in cols], key, n_boot, seed)
     value = lambda s: METRICS[metric][1](*(F.col(c) if c == "n" else F.col(f"{s}_{c}") for c in METRICS[metric][0]))
     return interval(reps.select((value("b") - value("a")).alias("v")), alpha)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..functions import speech as P
 from ..functions import values as V
 from ..operators import choosing as C
 from ..operators import dialogue as D
@@ -498,14 +499,14 @@ def q_synthesis_plan(spark, sf_dir):
 def q_id_itn(spark, sf_dir):
     names = "공일이삼사오육칠팔구"
     said = F.translate(F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), "0123456789", names)
-    return read(spark, sf_dir, "orders").select("o_orderkey", R.spoken_ids(F.concat(F.lit("주문번호 디 "), said, F.lit("이에요"))).alias("text"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", P.spoken_ids(F.concat(F.lit("주문번호 디 "), said, F.lit("이에요"))).alias("text"))
 
 
 @query("""SELECT p_partkey, 'id ' || cast(p_partkey + 1 AS STRING) || ', again ' || cast(p_partkey + 1 AS STRING) || ' not 0' || cast(p_partkey AS STRING) AS text, 2 AS n FROM part""")
 def q_substitute(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("id "), k, F.lit(", again "), k, F.lit(" not 0"), k)
-    return read(spark, sf_dir, "part").select("p_partkey", R.substitute(text, k, (F.col("p_partkey") + 1).cast("string")).alias("r")).select("p_partkey", "r.text", "r.n")
+    return read(spark, sf_dir, "part").select("p_partkey", P.substitute(text, k, (F.col("p_partkey") + 1).cast("string")).alias("r")).select("p_partkey", "r.text", "r.n")
 
 
 @query("SELECT p_partkey, upper(regexp_replace(p_name, '[^0-9A-Za-z]', '', 'g')) AS letters FROM part")
@@ -605,3 +606,4 @@ def q_tracking_forms(spark, sf_dir):
     )
     o = read(spark, sf_dir, "orders")
     return o.groupBy(G.tracking_form(F.concat(F.lit("n "), number, F.lit(" ok")), F.concat(F.lit("n "), heard, F.lit(" ok")), number).alias("form")).agg(F.count("*").alias("n"))
+from . import calls as _calls  # noqa: E402, F401  (registers its queries)
