@@ -607,3 +607,4 @@ def q_tracking_forms(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     return o.groupBy(G.tracking_form(F.concat(F.lit("n "), number, F.lit(" ok")), F.concat(F.lit("n "), heard, F.lit(" ok")), number).alias("form")).agg(F.count("*").alias("n"))
 from . import calls as _calls  # noqa: E402, F401  (registers its queries)
+from . import reviews as _reviews  # noqa: E402, F401
