@@ -127,14 +127,13 @@ def _inside(at: np.ndarray, size: np.ndarray, woff: np.ndarray) -> tuple[np.ndar
 PAIRS = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
 
 
-def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    if not len(items.gram):
-        return docs.sparkSession.createDataFrame([], PAIRS)
+def matcher(docs: DataFrame, items: Items, threshold: float):
+    """A function from a batch and its text column's place to (row, item, score, first word, end word, seeds) of its matches."""
     gram, owner = items.seeds()
-    words, ids, sizes = items.words, items.ids, items.sizes
-    sent = docs.sparkSession.sparkContext.broadcast((gram, owner))
+    words, sizes = items.words, items.sizes
+    sent = docs.sparkSession.sparkContext.broadcast((gram, owner, words))  # a block's, of bounded size
 
-    def candidates(doc: np.ndarray, at: np.ndarray, item: np.ndarray, g: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    def candidates(doc: np.ndarray, at: np.ndarray, item: np.ndarray, g: np.ndarray, words: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, int]]:
         if not len(doc):
             return
         o = np.lexsort((at, item, doc))
@@ -146,61 +145,87 @@ def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             for part in np.split(np.arange(i, j), far):
                 yield int(doc[i]), k, at[part], len(np.unique(g[part]))
 
-    def run(batches):
-        gram, owner = sent.value
+    def matches(b: pa.RecordBatch, column: int) -> Iterator[tuple]:
+        gram, owner, words = sent.value
         grams = np.unique(gram)
         flags = _flags(grams)
+        for row, w, woff in _text_pieces(b, column):
+            at, size, g = _hits(w, sizes, grams, flags)
+            doc, ok = _inside(at, size, woff)
+            at, g, doc = at[ok], g[ok], doc[ok]
+            lo, hi = np.searchsorted(gram, g), np.searchsorted(gram, g, "right")
+            n = hi - lo
+            who = owner[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            best: dict[tuple[int, int], tuple] = {}
+            for d, k, places, seeds in candidates(np.repeat(doc, n), np.repeat(at, n), who, np.repeat(g, n), words):
+                margin = len(words[k]) + 8
+                a, e = max(woff[d], places[0] - margin), min(woff[d + 1], places[-1] + margin + GRAM)
+                if np.isin(words[k], w[a:e]).sum() / len(words[k]) < threshold:  # even with all of them matched
+                    continue
+                score, i, j = align(words[k], w[a:e])
+                share = score / (MATCH * len(words[k]))
+                if share >= threshold and share > best.get((d, k), (0,))[0]:
+                    _, i, j = align_span(words[k], w[a:e])
+                    best[d, k] = (share, int(a + i - woff[d]), int(a + j - woff[d]), seeds)
+            for (d, k), v in best.items():
+                yield row + d, k, *v
+
+    return matches
+
+
+def _block_pairs(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    if not len(items.gram):
+        return docs.sparkSession.createDataFrame([], PAIRS)
+    matches, ids = matcher(docs, items, threshold), items.ids
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches):
         for b in batches:
-            out, doc_ids = [], b.column(0).cast(pa.int64())
-            for row, w, woff in _text_pieces(b, 1):
-                at, size, g = _hits(w, sizes, grams, flags)
-                doc, ok = _inside(at, size, woff)
-                at, g, doc = at[ok], g[ok], doc[ok]
-                lo, hi = np.searchsorted(gram, g), np.searchsorted(gram, g, "right")
-                n = hi - lo
-                who = owner[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-                best: dict[tuple[int, int], tuple] = {}
-                for d, k, places, seeds in candidates(np.repeat(doc, n), np.repeat(at, n), who, np.repeat(g, n)):
-                    margin = len(words[k]) + 8
-                    a, e = max(woff[d], places[0] - margin), min(woff[d + 1], places[-1] + margin + GRAM)
-                    if np.isin(words[k], w[a:e]).sum() / len(words[k]) < threshold:  # even with all of them matched
-                        continue
-                    score, i, j = align(words[k], w[a:e])
-                    share = score / (MATCH * len(words[k]))
-                    if share >= threshold and share > best.get((d, k), (0,))[0]:
-                        _, i, j = align_span(words[k], w[a:e])
-                        best[d, k] = (share, int(a + i - woff[d]), int(a + j - woff[d]), seeds)
-                out += [(doc_ids[row + d].as_py(), ids[k], *v) for (d, k), v in best.items()]
+            doc_ids = b.column(0).cast(pa.int64())
+            out = [(doc_ids[row].as_py(), ids[k], *v) for row, k, *v in matches(b, 1)]
             if out:
                 z = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(z, types, strict=True)], [x.split()[0] for x in PAIRS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), PAIRS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document and item whose best alignment is at or above the threshold."""
-    out, ids, texts, load = None, [], [], 0
-
-    def flush() -> None:
-        nonlocal out, ids, texts, load
-        if ids:
-            part = _block_pairs(docs, Items(ids, texts), threshold)
-            out = part if out is None else out.union(part)
-        ids, texts, load = [], [], 0
-
+def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
+    """The items, a block of about ``BLOCK`` n-grams at a time."""
+    ids, texts, load = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
         load += len(r["text"] or "") // 4
         if load > BLOCK:
-            flush()
-    flush()
+            yield Items(ids, texts)
+            ids, texts, load = [], [], 0
+    if ids:
+        yield Items(ids, texts)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document and item whose best alignment is at or above the threshold."""
+    out = None
+    for items in item_blocks(benchmark):
+        part = _block_pairs(docs, items, threshold)
+        out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs less those that hold a copy of an item. Rows without a doc_id cannot be named and stay."""
-    leaks = contaminated(docs, benchmark, threshold).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """docs less the rows that hold a copy of an item, whatever their doc_id. Each block of items is one pass, without a shuffle."""
+    k, out = docs.columns.index("text"), docs
+    for items in item_blocks(benchmark):
+        if not len(items.gram):
+            continue
+        matches = matcher(docs, items, threshold)
+
+        def run(batches, matches=matches):
+            for b in batches:
+                keep = np.ones(len(b), bool)
+                keep[[row for row, *_ in matches(b, k)]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(lean(run), docs.schema)
+    return out

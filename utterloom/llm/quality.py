@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean
+from .shared import free_name, lean
 from .text import hash_spans, pieces, spans, utf8
 
 CUT, KEEP = 0.7, 0.99
@@ -191,11 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, float] | None:
     return net, np.log(CUT / (1 - CUT)) - low + 0.5 * max(low - rest, 0.0)
 
 
-def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score (0 to 1, higher: better)."""
+def with_scores(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs with a column ``name``, which docs must not have: the score (0 to 1, higher: better)."""
     model = fit(docs, labels)
     k = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     names = [f.name for f in schema]
 
     def run(batches):
@@ -217,8 +217,6 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs less those scored below ``CUT``."""
-    cols = docs.columns
-    plain = docs if "score" not in cols else docs.withColumnRenamed("score", "score_of_input")
-    kept = with_scores(plain, labels).filter(F.col("score") >= CUT).drop("score")
-    return kept.toDF(*cols)
+    """docs less those scored below ``CUT``. Columns may have any names."""
+    name = free_name(docs.columns, "score")
+    return with_scores(docs, labels, name).filter(F.col(name) >= CUT).drop(name)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting for the bytes of an Arrow batch, its default, and what is small enough for a worker.
 SIZE, DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
@@ -80,6 +81,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, or with as many underscores as no column (whatever its case) has."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def with_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a unique long ``key`` that is in the order of doc_id (nulls first), then text: doc_id itself if it is a key,
+    else a number of the row (stored)."""
+    odd = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not odd:
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return stored(docs.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "ordered")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import KEPT, lean, shuffle_parts, stored
+from .shared import KEPT, lean, shuffle_parts, stored, with_key
 from .text import mix, power_table, utf8
 
 WINDOW, GRAM, WIDTH = 100, 16, 25
@@ -376,14 +376,6 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), pa.array(z[1], pa.int64()), *(pa.array(x, pa.binary()) for x in z[2:])], ["bucket", "rid", "pos", "count", "m", "body"])
 
 
-def with_order(docs: DataFrame) -> DataFrame:
-    """``docs`` with rid: doc_id if it is a key, else a number of the row in doc_id order (stored)."""
-    odd = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count()
-    if not odd:
-        return docs.withColumn("rid", F.col("doc_id").cast("long"))
-    return stored(docs.orderBy("doc_id").withColumn("rid", F.monotonically_increasing_id()), "ordered")
-
-
 def repeats(ordered: DataFrame) -> DataFrame:
     """Ranges (rid, pos, count) of windows that also start earlier. ``ordered``: rid, text."""
     docs = ordered.select("rid", "text")
@@ -401,8 +393,8 @@ def covered(n: int, pos: np.ndarray, count: np.ndarray, window: int = WINDOW) ->
 
 
 def trimmed(docs: DataFrame) -> DataFrame:
-    """docs' columns and rid, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    ordered = with_order(docs)
+    """docs' columns and rid, n_bytes, n_removed, n_spans, kept (the remaining bytes). ``docs``: doc_id, text, and columns of other names."""
+    ordered = with_key(docs, "rid")
     ranges = repeats(ordered).groupBy("rid").agg(F.collect_list(F.struct("pos", "count")).alias("gone"))
     joined = ordered.join(ranges, "rid", "left")
     k_text, k_gone = joined.columns.index("text"), joined.columns.index("gone")
@@ -436,10 +428,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
-    """docs without the repeated bytes (cut characters go too) and without documents of which nothing is left; n_chars follows."""
+    """docs without the repeated bytes (cut characters go too) and without documents of which nothing is left; n_chars follows.
+
+    The input's row travels as one struct, so its columns may have any names.
+    """
     decoded = F.pandas_udf(lambda raw: raw.map(lambda b: b.decode("utf-8", "ignore")), "string")
-    kept = trimmed(docs).filter("n_removed < n_bytes OR n_bytes = 0").withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(decoded(F.col("kept"))))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = trimmed(rows).filter("n_removed < n_bytes OR n_bytes = 0").withColumn("cut", F.when(F.col("n_removed") > 0, decoded(F.col("kept"))))
+    cut = F.col("n_removed") > 0
+
+    def value(c: str):
+        old = F.col("row")[c]
+        new = {"text": F.when(cut, F.col("cut")).otherwise(old), "n_chars": F.when(cut, F.length("cut")).otherwise(old)}.get(c, old)
+        return new.cast(docs.schema[c].dataType).alias(c)
 
+    return kept.select(*map(value, docs.columns))
