@@ -263,7 +263,9 @@ def test_steps_of_the_tree_are_a_distribution(n):
     for scale in (0, 1):
         w = (scale * rng.normal(size=(1 << 14, maxent.CLASSES))).astype(np.float32)
         token, node, y, row = tree.steps(at, tokens, np.full(len(at), 5))
-        z = maxent.class_logits(w, maxent.rows_at(np.repeat(np.arange(5, dtype=np.uint64)[None], len(token), 0), node, 14)) + tree.start[row]
+        r = maxent.rows_at(np.repeat(np.arange(5, dtype=np.uint64)[None], len(token), 0), node, 14)
+        k = len(at)
+        z = np.concatenate([maxent.logits(w, r[:k], tree.start[row[:k]]), maxent.logits(w, r[k:][:, maxent.DEEP], tree.start[row[k:]])])
         root = 1 / maxent.softmax(z[:1].copy())[0]
         lp = np.log(maxent.softmax(z)[np.arange(len(y)), y])
         within = np.exp(np.bincount(token, lp, len(at))) * root[tree.of[at]]
@@ -559,3 +561,45 @@ def test_leaks_equal_alignment_of_all_pairs(spark):
                 want[i, j] = share
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_scores_of_the_language_model_recomputed(spark, monkeypatch):
+    """Every token's class, the steps to its word and the share of its leaf, one after the other, from the trained weights."""
+    r, kept, plain = random.Random(6), {}, maxent.train
+
+    def train(docs, vocab, bucket, tree, root, bits):
+        w = plain(docs, vocab, bucket, tree, root, bits)
+        kept.update(w=w, vocab=vocab, bucket=bucket, tree=tree, bits=bits)
+        return w
+
+    monkeypatch.setattr(maxent, "train", train)
+    monkeypatch.setattr(maxent.frequent, "__defaults__", (30,))
+    rows = [(i, " ".join(f"w{min(int(r.expovariate(0.05)), 80)}" for _ in range(r.randrange(1, 30)))) for i in range(60)]
+    got = {x["doc_id"]: x for x in maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    w, vocab, bucket, tree, bits = (kept[k] for k in ("w", "vocab", "bucket", "tree", "bits"))
+    assert len(vocab) == 30 and np.abs(w).sum() > 0
+    counts = Counter(t for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2 for t in [*text.split(), None])
+    for i, text in rows[:20]:
+        words_ = text.split()
+        tokens = np.append(maxent.word_hashes(*utf8(_arrow([text])))[0], maxent.END)
+        border, at = np.array([0, len(tokens)]), maxent.lookup(tokens, vocab)
+        features, before = maxent.feature_hashes(tokens, border), maxent.previous(bucket[at], border, 1, maxent.PREV - 1)
+        total = 0.0
+        for k in range(len(tokens)):
+            token, node, y, row = tree.steps(at[k : k + 1], tokens[k : k + 1], before[k : k + 1])
+            for a in range(len(node)):
+                used = range(maxent.FEATURES) if node[a] == 0 else maxent.DEEP
+                z = tree.start[row[a]].astype(float)
+                for j in used:
+                    z = z + w[maxent.rows_at(features[k : k + 1], node[a : a + 1], bits)[0, j]]
+                total += z[y[a]] - np.log(np.exp(z - z.max()).sum()) - z.max()
+            if at[k] == len(vocab):
+                word = words_[k] if k < len(words_) else None
+                total += np.log(counts[word] + 1) - np.log(tree.mass[maxent.leaves(tokens[k : k + 1], tree.digits)[0]])
+        assert got[i]["score"] == pytest.approx(total / np.log(10), rel=1e-3)
+
+
+def _arrow(texts):
+    import pyarrow as pa
+
+    return pa.array(texts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -36,22 +37,26 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False) -> dict[int, np.ndarray]:
-    """Sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``;
-    ``packed``: compressed by zlib).
+def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False, read: Callable[[bytes], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+    """Sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``; ``packed``:
+    compressed by zlib; or what ``read`` makes an array of ``dtype`` from).
 
-    Two levels, so that no task holds more than ``fan_in`` arrays of a block at the first; the result is as large as one
-    task's set of blocks, whatever the number of tasks.
+    Three levels, the first two of at most ``fan_in`` arrays a task, so that the last has a few even of millions of parts; the result is as large as one task's set of
+    blocks, whatever the number of tasks.
     """
+    plain = (lambda raw: np.frombuffer(zlib.decompress(raw), dtype)) if packed else (lambda raw: np.frombuffer(raw, dtype))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for raw in pdf["data"]:
-            a = np.frombuffer(zlib.decompress(raw) if packed else raw, dtype)
-            total = a.copy() if total is None else add_up(total, a)
-        return pd.DataFrame({"part": [0], "block": [pdf["block"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1) if packed else total.tobytes()]})
+    def adder(get: Callable[[bytes], np.ndarray]):
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = None
+            for raw in pdf["data"]:
+                total = get(raw).copy() if total is None else add_up(total, get(raw))
+            return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // fan_in], "block": [pdf["block"].iloc[0]], "data": [zlib.compress(total.tobytes(), 1) if packed else total.tobytes()]})
+
+        return add
 
     schema = "part int, block int, data binary"
-    first = parts.withColumn("group", (F.col("part") / fan_in).cast("int")).groupBy("block", "group").applyInPandas(add, schema)
-    second = first.groupBy("block").applyInPandas(add, schema)
-    return {r["block"]: np.frombuffer(zlib.decompress(r["data"]) if packed else r["data"], dtype) for r in second.select("block", "data").collect()}
+    level = parts.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("block", "group").applyInPandas(adder(read or plain), schema)
+    level = level.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("block", "group").applyInPandas(adder(plain), schema)
+    level = level.groupBy("block").applyInPandas(adder(plain), schema)
+    return {r["block"]: plain(r["data"]) for r in level.select("block", "data").collect()}

@@ -4,8 +4,8 @@ The ``VOCAB`` most frequent words are put into classes by the words they follow
 words are one class of their own. A token's log probability is that of its class plus that of the word in it:
 
 * class: softmax over hashed features of the context (previous word, the word before it, both, and the word three back);
-* word in its class: the same softmax over the same features at each step down a tree of ``CLASSES`` branches, whose rows are
-  hashed with the tree's node. A step starts from what counts say of its branches after the previous word's bucket (see
+* word in its class: the same softmax at each step down a tree of ``CLASSES`` branches over the features ``DEEP`` (previous word,
+  the word before it, both), whose rows are hashed with the tree's node. A step starts from what counts say of its branches after the previous word's bucket (see
   ``word_table``) and is moved from there by its features. Frequent words are leaves of their own; the other words go by the
   digits of their hash, more of them the more words were counted, and a leaf's words share it by smoothed counts, one unit for
   all unseen words. So all words' probabilities sum to 1.
@@ -40,6 +40,8 @@ VOCAB, CLASSES, PREV = 8192, 32, 128
 ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 3, 0.25
 DIGIT, MOST_DIGITS = 5, 3
 FEATURES = 5
+#: Features of the steps below the root: their bias is what they start from, and the word three back says nothing more there.
+DEEP = [1, 2, 4]
 END = np.uint64(0x5851F42D4C957F2D)
 FOLDS, HELD = 7, 2
 
@@ -189,13 +191,32 @@ def rows_at(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def class_logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w.take(rows[:, 0], 0)
-    for j in range(1, FEATURES):
+def logits(w: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    z = start.copy()
+    for j in range(rows.shape[1]):
         z += w.take(rows[:, j], 0)
     return z
 
 
+def update(w: np.ndarray, speed: np.ndarray, seen: np.ndarray, rows: np.ndarray, start: np.ndarray, y: np.ndarray) -> None:
+    """Adagrad on the rows of steps to the digits ``y``, a feature at a time; a row's change is between the mean and the sum of its steps'."""
+    g = softmax(logits(w, rows, start))
+    g[np.arange(len(y)), y] -= 1
+    for j in range(rows.shape[1]):
+        o = np.argsort(rows[:, j])
+        sorted_rows = rows[o, j]
+        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]])) if len(o) else o
+        which, n = sorted_rows[first], np.diff(np.append(first, len(o)))
+        total, many = np.empty((len(which), CLASSES), np.float32), n > 1
+        total[~many] = g[o[first[~many]]]
+        if many.any():
+            total[many] = np.add.reduceat(g[o[np.repeat(many, n)]], np.cumsum(n[many]) - n[many], axis=0)
+        total /= np.sqrt(n, dtype=np.float32)[:, None]
+        speed[which] += np.einsum("ij,ij->i", total, total) / CLASSES
+        w[which] -= (RATE / np.sqrt(speed[which]))[:, None] * total
+        seen[which] += n
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(1, keepdims=True)
     np.exp(z, out=z)
@@ -217,11 +238,11 @@ def cooccurrence(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray) -> np.n
                 before = previous(bucket[k], border, 1, PREV - 1)
                 total += np.bincount(before * shape[1] + k, minlength=len(total))
         part = TaskContext.get().partitionId()
-        total = total.reshape(shape).astype(np.int32)
+        total = total.reshape(shape)
         for p in range(0, PREV, 8):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([p], pa.int32()), pa.array([total[p : p + 8].tobytes()], pa.binary())], ["part", "block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([p], pa.int32()), pa.array([zlib.compress(total[p : p + 8].tobytes(), 1)], pa.binary())], ["part", "block", "data"])
 
-    got = sum_blocks(docs.select("doc_id", "text").mapInArrow(lean(run), "part int, block int, data binary"), "<i4")
+    got = sum_blocks(docs.select("doc_id", "text").mapInArrow(lean(run), "part int, block int, data binary"), "<i8", packed=True)
     out = np.zeros(shape, np.float64)
     for p, a in got.items():
         out[p : p + 8] = a.reshape(-1, shape[1])
@@ -349,7 +370,7 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
     sc = docs.sparkSession.sparkContext
     w = np.zeros((1 << bits, CLASSES), np.float32)
     w[0] = root
-    step = 1 << 10
+    step = 1 << 10  # rows of a block
     docs = docs.select("doc_id", "text").coalesce(max(sc.defaultParallelism, 1))
     fixed = sc.broadcast((vocab, bucket, tree))
     for round_ in range(ROUNDS):
@@ -368,26 +389,21 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
                     before = previous(bucket[at], border, 1, PREV - 1)
                     for i in range(0, len(tokens), 4096):
                         token, node, y, row = tree.steps(at[i : i + 4096], tokens[i : i + 4096], before[i : i + 4096])
-                        r = rows_at(hashes[i + token], node, bits)
-                        g = softmax(class_logits(w, r) + tree.start[row])
-                        g[np.arange(len(y)), y] -= 1
-                        flat = r.ravel()
-                        o = np.argsort(flat)
-                        first = np.flatnonzero(np.concatenate([[True], flat[o][1:] != flat[o][:-1]]))
-                        total = np.add.reduceat(g.take(o // FEATURES, 0), first)
-                        which, n = flat[o[first]], np.diff(np.append(first, len(flat)))
-                        total /= np.sqrt(n)[:, None]  # between the mean and the sum of a row's updates
-                        speed[which] += (total * total).mean(1)
-                        w[which] -= RATE * total / np.sqrt(speed[which])[:, None]
-                        seen[which] += n
+                        r, root = rows_at(hashes[i + token], node, bits), len(at[i : i + 4096])
+                        update(w, speed, seen, r[:root], tree.start[row[:root]], y[:root])
+                        update(w, speed, seen, r[root:][:, DEEP], tree.start[row[root:]], y[root:])
             part = TaskContext.get().partitionId()
             for k in range(0, len(w), step):
                 n = seen[k : k + step, None]
                 if n.any():
-                    body = np.concatenate([(w[k : k + step] - w0[k : k + step]) * n, n], 1).astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "block", "data"])
+                    change = (w[k : k + step] - w0[k : k + step]).astype("<f2")
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([change.tobytes() + n.astype("<f8").tobytes()], pa.binary())], ["part", "block", "data"])
+
+        def weighted(raw: bytes) -> np.ndarray:
+            n = np.frombuffer(raw[step * CLASSES * 2 :], "<f8")[:, None]
+            return np.concatenate([np.frombuffer(raw[: step * CLASSES * 2], "<f2").reshape(-1, CLASSES) * n, n], 1).ravel()
 
-        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f4")
+        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f8", read=weighted)
         w = w.copy()
         for k, a in got.items():
             a = a.reshape(-1, CLASSES + 1)
@@ -439,7 +455,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 hashes, before = feature_hashes(tokens, border), previous(bucket[at], border, 1, PREV - 1)
                 for i in range(0, len(tokens), 8192):
                     token, node, y, row = tree.steps(at[i : i + 8192], tokens[i : i + 8192], before[i : i + 8192])
-                    z = class_logits(w, rows_at(hashes[i + token], node, bits)) + tree.start[row]
+                    r, root = rows_at(hashes[i + token], node, bits), len(at[i : i + 8192])
+                    z = np.concatenate([logits(w, r[:root], tree.start[row[:root]]), logits(w, r[root:][:, DEEP], tree.start[row[root:]])])
                     m = z.max(1)
                     np.exp(z - m[:, None], out=(e := np.empty_like(z)))
                     got = z[np.arange(len(z)), y] - m - np.log(e.sum(1))
