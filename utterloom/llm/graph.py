@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False, read: Callable[[bytes], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False, read: Callable[[bytes], np.ndarray] | None = None, tasks: int = 1 << 40) -> dict[int, np.ndarray]:
     """Sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``; ``packed``:
     compressed by zlib; or what ``read`` makes an array of ``dtype`` from).
 
@@ -56,7 +57,8 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, p
         return add
 
     schema = "part int, block int, data binary"
-    level = parts.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("block", "group").applyInPandas(adder(read or plain), schema)
-    level = level.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy("block", "group").applyInPandas(adder(plain), schema)
-    level = level.groupBy("block").applyInPandas(adder(plain), schema)
+    level, get, levels = parts, read or plain, min(3, max(1, math.ceil(math.log(max(tasks, 2), fan_in))))
+    for k in range(levels):
+        keys = ["block"] if k == levels - 1 else ["block", "group"]
+        level, get = level.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy(*keys).applyInPandas(adder(get), schema), plain
     return {r["block"]: plain(r["data"]) for r in level.select("block", "data").collect()}

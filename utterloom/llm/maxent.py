@@ -371,7 +371,8 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
     w = np.zeros((1 << bits, CLASSES), np.float32)
     w[0] = root
     step = 1 << 10  # rows of a block
-    docs = docs.select("doc_id", "text").coalesce(max(sc.defaultParallelism, 1))
+    tasks = max(sc.defaultParallelism, 1)
+    docs = docs.select("doc_id", "text").coalesce(tasks)
     fixed = sc.broadcast((vocab, bucket, tree))
     for round_ in range(ROUNDS):
         sent = sc.broadcast(w)
@@ -397,13 +398,13 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
                 n = seen[k : k + step, None]
                 if n.any():
                     change = (w[k : k + step] - w0[k : k + step]).astype("<f2")
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([change.tobytes() + n.astype("<f8").tobytes()], pa.binary())], ["part", "block", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([change.tobytes() + n.astype("<f4").tobytes()], pa.binary())], ["part", "block", "data"])
 
         def weighted(raw: bytes) -> np.ndarray:
-            n = np.frombuffer(raw[step * CLASSES * 2 :], "<f8")[:, None]
+            n = np.frombuffer(raw[step * CLASSES * 2 :], "<f4")[:, None]
             return np.concatenate([np.frombuffer(raw[: step * CLASSES * 2], "<f2").reshape(-1, CLASSES) * n, n], 1).ravel()
 
-        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f8", read=weighted)
+        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f4", read=weighted, tasks=tasks)
         w = w.copy()
         for k, a in got.items():
             a = a.reshape(-1, CLASSES + 1)
