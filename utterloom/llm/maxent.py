@@ -409,7 +409,8 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
         for k, a in got.items():
             a = a.reshape(-1, CLASSES + 1)
             w[k : k + step] += a[:, :-1] / np.maximum(a[:, -1:], 1)
-        sent.unpersist()
+        sent.destroy()  # the driver's copy too
+    fixed.destroy()
     return w
 
 

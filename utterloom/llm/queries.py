@@ -31,7 +31,7 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(table(spark, sf_dir, "documents")).drop("clips")
+    return media.store_texts(table(spark, sf_dir, "documents"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

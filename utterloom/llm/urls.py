@@ -1,5 +1,10 @@
 """URL filter: fixed rules first, else an empirical-Bayes host reputation. DataFrame and SQL functions only.
 
+``judge`` sums outcomes once by host, and from there each level from the one below: n, good, and the sum of good^2 / n, which give the
+spread of the children's rates around any mean without another pass. Pages meet one row a host; the table of hosts is broadcast
+only if it is counted as small, else joined by its key, where adaptive execution splits a hot host's pages.
+``reputation_sql`` states the same result as one SQL query of its own; the operator does not use it.
+
 Labelled page outcomes (good or not) are counted by host, summed to registered domain and suffix. Each level's rate is
 shrunk towards its parent's through a beta prior: mean = the parent's shrunk rate, concentration = moments of the
 children's rates (beta-binomial). A page is blocked if the upper posterior bound of its host's rate of good pages is below
@@ -12,7 +17,10 @@ Empty tables: without labels every rate is 1/2 with little weight, so nothing is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .shared import stored
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (
@@ -25,6 +33,8 @@ RULES = (
 #: Public suffixes of two labels; any other suffix is the last label.
 SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 THRESHOLD, BOUND_Z = 0.5, 1.64
+#: Hosts of at most so many rows are broadcast (some 50 bytes each).
+MOST_BROADCAST = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,7 +58,7 @@ def _level(child: str, parent: str, key: str, above: str) -> str:
 
 
 def reputation_sql(pages: str, outcomes: str, rules=RULES, suffixes=SUFFIXES, threshold: float = THRESHOLD, z: float = BOUND_Z) -> str:
-    """SQL text, for Spark and DuckDB alike. ``pages``: page_id, url; ``outcomes``: page_id, good (1 or 0)."""
+    """The result as SQL text, for DuckDB or Spark. ``pages``: page_id, url; ``outcomes``: page_id, good (1 or 0)."""
     two = ", ".join(f"'{s}'" for s in suffixes)
     last = lambda k: f"regexp_extract(host, '([^.]*" + "[.][^.]*" * (k - 1) + ")$', 1)"
     conc = "least(1000.0, greatest(1.0, (m * (1 - m) - spread) / greatest(spread - m * (1 - m) * parts / n, 0.001)))"
@@ -110,8 +120,68 @@ OUTCOMES_SQL = """(SELECT p.page_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THE
   JOIN {labels} l ON p.doc_id = l.doc_id) o"""
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = BOUND_Z) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page."""
-    spark = pages.sparkSession
-    sql = reputation_sql("{pages}", "{outcomes}", rules, threshold=threshold, z=z)
-    return spark.sql(sql, pages=pages.select("page_id", "url"), outcomes=outcomes.select("page_id", "good"))
+def split_url(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a url."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    rest = F.coalesce(rest, F.lit(""))
+    host = F.regexp_extract(rest, "^[^/?#]*", 0)
+    return F.translate(host, UPPER, LOWER), F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), "^[^?#]*", 0)
+
+
+def ruled(host: Column, path: Column, rules=RULES) -> Column:
+    """struct(rule, verdict) of the longest rule that fits, else NULL."""
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
+    for verdict, name, prefix in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the last WHEN is asked first
+        fits = ((host == name) | host.endswith("." + name)) & path.startswith(prefix)
+        out = F.when(fits, F.struct(F.lit(name + prefix).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+    return out
+
+
+def names(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, public suffix) of a host. A host that is a suffix, or has one label, is its own domain."""
+    labels = F.split(host, "[.]")
+    last = lambda k: F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), "."))
+    wide = F.coalesce(last(2).isin(*suffixes), F.lit(False)) if suffixes else F.lit(False)
+    return F.when(wide, F.coalesce(last(3), last(2))).otherwise(F.coalesce(last(2), last(1))), F.when(wide, last(2)).otherwise(last(1))
+
+
+def _rolled(children: DataFrame, key: str, *others: str) -> DataFrame:
+    """Each parent's counts and the prior that its children's rates give: n, good, m (its own rate), conc."""
+    sums = children.groupBy(key, *others).agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("s2"), F.count("*").alias("parts"))
+    x = sums.withColumn("m", (F.col("good") + 0.5) / (F.col("n") + 1.0))
+    x = x.withColumn("spread", (F.col("s2") - 2 * F.col("m") * F.col("good") + F.col("m") * F.col("m") * F.col("n")) / F.col("n"))
+    noise = F.col("m") * (1 - F.col("m"))
+    conc = (noise - F.col("spread")) / F.greatest(F.col("spread") - noise * F.col("parts") / F.col("n"), F.lit(0.001))
+    return x.select(key, *others, "n", "good", "m", F.least(F.lit(1000.0), F.greatest(F.lit(1.0), conc)).alias("conc"))
+
+
+def _upper(mean: Column, weight: Column, z: float) -> Column:
+    return mean + z * F.sqrt(mean * (1 - mean) / (weight + 1))
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes=SUFFIXES, threshold: float = THRESHOLD, z: float = BOUND_Z) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page. ``outcomes``: page_id, good (1 or 0)."""
+    host, path = split_url(F.col("url"))
+    split = pages.select("page_id", host.alias("host"), path.alias("path"))
+    labelled = outcomes.filter("good IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good"))
+    domain, suffix = names(F.col("host"), suffixes)
+    # all hosts, once: how many labelled pages, how many good ones
+    hosts = split.join(labelled, "page_id", "left").groupBy("host").agg(F.count("good").cast("double").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"))
+    hosts = stored(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "good"), "hosts")
+    known = hosts.filter("n > 0")
+    domains = stored(_rolled(known, "domain", "suffix"), "domains")
+    suffixes_ = _rolled(domains, "suffix")
+    world = _rolled(suffixes_.withColumn("world", F.lit(1)), "world").select("m", "conc").first()
+    mean, conc = (world["m"], world["conc"]) if world else (0.5, 1.0)
+    top = suffixes_.select("suffix", ((F.col("good") + mean * conc) / (F.col("n") + conc)).alias("s_mean"), F.col("conc").alias("s_conc"))
+    mid = domains.join(top, "suffix").select("domain", ((F.col("good") + F.col("s_mean") * F.col("s_conc")) / (F.col("n") + F.col("s_conc"))).alias("d_mean"), F.col("conc").alias("d_conc"))
+    x = hosts.join(mid, "domain", "left").join(top, "suffix", "left")
+    weight = F.col("n") + F.col("d_conc")
+    own = F.when(F.col("n") > 0, _upper((F.col("good") + F.col("d_mean") * F.col("d_conc")) / weight, weight, z))
+    upper = F.coalesce(own, _upper(F.col("d_mean"), F.col("d_conc"), z), _upper(F.col("s_mean"), F.col("s_conc"), z), _upper(F.lit(mean), F.lit(conc), z))
+    bounds = stored(x.select("host", upper.alias("upper")), "bounds")
+    if bounds.count() <= MOST_BROADCAST:
+        bounds = F.broadcast(bounds)
+    judged = split.join(bounds, "host").withColumn("r", ruled(F.col("host"), F.col("path"), rules))
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(F.col("upper") < threshold, "block").otherwise("allow")).alias("verdict"))
