@@ -222,7 +222,7 @@ def say_numbers(text: str, counters: tuple[str, ...] = ("시", "개", "명", "
             return sino(int(plain)) + " 퍼센트"
         if unit.startswith("월") and 1 <= int(plain) <= 12:
             return {6: "유", 10: "시"}.get(int(plain), sino(int(plain))) + unit
-        if unit.startswith(counters):
+        if unit.startswith(counters) and not unit.startswith("번호"):
             return f"{native(int(plain))} {unit}"
         if "," not in whole and (len(plain) >= 5 or (len(plain) > 1 and plain[0] == "0")) and not unit.startswith("원"):
             return f" {said_digits} {unit}"

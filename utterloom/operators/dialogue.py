@@ -22,6 +22,7 @@ def same_in_row(turns: Column) -> Column:
     return F.when(F.size(turns) < 2, 0).otherwise(F.size(pairs))
 
 
+# The problems' texts below, and their order, are fixed values.
 def dialogue_problems(turns: Column, speakers: Sequence[str], least: int = 8, most: int = 40, pairs: int = 2) -> Column:
     """What makes a dialogue unusable. Without turns only their number is named; a bad or empty turn ends the list."""
     names = F.array(*map(F.lit, speakers))
@@ -39,6 +40,22 @@ def dialogue_problems(turns: Column, speakers: Sequence[str], least: int = 8, mo
     return F.filter(F.when(F.size(turns) == 0, F.array(count)).when(bad, early).otherwise(rest), lambda p: p.isNotNull())
 
 
+def verification_problem(text: Column, asked: Column) -> Column:
+    """Whether verification is spoken of where the spec has none, or the other way round; NULL if they agree."""
+    spoken = V.verification_words(text)
+    return F.when(spoken & ~asked, "verification not in spec").when(~spoken & asked, "spec verification missing")
+
+
+def summary_problems(summary: Column, slots: Column, distractor: Column) -> Column:
+    """What makes a reference summary unusable. ``slots``: array of struct(kind, type, value); ``distractor``: the number first said wrongly."""
+    index, n = V.text_index(summary), V.sentence_count(summary)
+    fits = n.between(2, 8) & F.length(summary).between(40, 600)
+    missing = F.transform(F.filter(slots, lambda s: ~V.found_at(s["kind"], s["value"], index)), lambda s: F.concat(F.lit("summary misses "), s["type"], F.lit(" '"), s["value"], F.lit("'")))
+    first = F.array(F.when(V.foreign_script(summary), "non-Korean script (Han/kana)"), F.when(~fits, F.concat(F.lit("length ("), F.length(summary).cast("string"), F.lit(" chars)"))))
+    last = F.array(F.when(F.coalesce(V.found_at(F.lit("id"), distractor, index), F.lit(False)), "summary repeats the corrected value"))
+    return F.filter(F.concat(first, missing, last), lambda p: p.isNotNull())
+
+
 def value_problems(text: Column, slots: Column) -> Column:
     """Values of the spec that the text misses (letter by letter) and typed values that are not the spec's.
 

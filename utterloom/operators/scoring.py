@@ -85,7 +85,7 @@ def draw_index(seed: str, rep: Column, pos: Column, n: Column) -> Column:
 
 
 def resampled(items: DataFrame, cols: Sequence[str], order: str, n_boot: int, seed: str = "0") -> DataFrame:
-    """(rep, n, sums of ``cols``) of ``n_boot`` draws of as many items, with replacement. ``order`` is a unique column.
+    """(rep, n (how many, unless a column has that name), sums of ``cols``) of ``n_boot`` draws of as many items, with replacement. ``order`` is a unique column.
 
     For the few hundred to thousand items of a test set: positions are numbered over all items, and the draws table has n_boot times
     as many rows, summed partially before its only shuffle.
@@ -96,7 +96,8 @@ def resampled(items: DataFrame, cols: Sequence[str], order: str, n_boot: int, se
     size = items.agg(F.count("*").alias("k"))
     draws = numbered.select(F.col("pos").alias("slot")).crossJoin(F.broadcast(size)).select("slot", "k", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     draws = draws.select("rep", draw_index(seed, F.col("rep"), F.col("slot"), F.col("k")).alias("pos"))
-    return draws.join(numbered, "pos").groupBy("rep").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in cols))
+    drawn = [] if "n" in cols else [F.count("*").alias("n")]
+    return draws.join(numbered, "pos").groupBy("rep").agg(*drawn, *(F.sum(c).alias(c) for c in cols))
 
 
 def bootstrap(items: DataFrame, metric: str, order: str, n_boot: int, seed: str = "0", alpha: float = 0.05) -> DataFrame:

@@ -517,9 +517,15 @@ def q_letters_only(spark, sf_dir):
 # --- generation, counterfactual copies, streams
 
 CATALOGUE = {
-    "refund": {"outcomes": {"해결": 3, "이관": 1}, "slots": [("order", "주문번호", "id", "D#######"), ("sum", "금액", "amount", "1000-90000-100")], "extra": 0.3, "distractor": 0.5},
-    "visit": {"outcomes": {"해결": 1, "미해결": 1}, "slots": [("day", "날짜", "date", ""), ("hour", "시각", "time", "")], "extra": 0.1, "distractor": 0.0},
-}
+    "refund": {
+        "outcomes": {"해결": 3, "이관": 1}, "slots": [("order", "주문번호", "id", "D#######"), ("sum", "금액", "amount", "1000-90000-100")], "extra": 0.3, "distractor": 0.5, "events": {"verify": 0.7, "hold": 0.2},
+        "actions": {"해결": ["환불"], "이관": ["이관"]}, "facts": ["{order} 주문의 환불을 원함", "{sum}을 돌려줌"],
+    },
+    "visit": {
+        "outcomes": {"해결": 1, "미해결": 1}, "slots": [("day", "날짜", "date", ""), ("new_day", "날짜", "date", ""), ("hour", "시각", "time", "")], "extra": 0.1, "distractor": 0.0, "ordered": [("day", "new_day")],
+        "facts": ["{day}에서 {new_day}로 방문일을 바꿈"],
+    },
+}
 
 
 @query()
@@ -538,19 +544,23 @@ def _numbered_dialogues(spark, sf_dir):
 
 @query("SELECT cast(o_orderkey AS STRING) AS item_id, true AS ok, 0::BIGINT AS old_left, 2::BIGINT AS new_there FROM orders")
 def q_perturb_swap(spark, sf_dir):
+    """Amounts are left out: one that shares four digits with the number would keep them in the text."""
     from ..operators import generate as G
 
-    s = G.swap_numbers(_numbered_dialogues(spark, sf_dir), "1")
+    bare = F.transform("turns", lambda t: F.struct(t["speaker"].alias("speaker"), F.regexp_replace(t["text"], " 금액 [0-9]+원", "").alias("text")))
+    s = G.swap_numbers(_numbered_dialogues(spark, sf_dir).withColumn("turns", bare), "1")
     having = lambda v: F.size(F.filter("turns", lambda t: t["text"].contains(F.get(v, F.lit(0))))).cast("long")
     return s.select("item_id", "ok", having("old").alias("old_left"), having("new").alias("new_there"))
 
 
-@query("SELECT cast(o_orderkey AS STRING) AS item_id, 5::BIGINT AS n, true AS placed FROM orders")
+@query("SELECT cast(o_orderkey AS STRING) AS item_id, true AS grown, true AS placed FROM orders")
 def q_perturb_neutral(spark, sf_dir):
     from ..operators import generate as G
 
-    n = G.insert_neutral(_numbered_dialogues(spark, sf_dir), [[("agent", "잠시만요"), ("caller", "네")], [("caller", "네"), ("agent", "확인 중입니다")]], "1")
-    return n.select("item_id", F.size("turns").cast("long").alias("n"), F.col("at").between(1, 2).alias("placed"))
+    lines = {"agent": [("잠시만요", "네"), ("확인 중입니다", "기다릴게요")], "caller": [("네", "확인 중입니다")]}
+    n = G.insert_neutral(_numbered_dialogues(spark, sf_dir), lines, "1")
+    fits = F.col("inserted").isin(2, 4) & (F.size("turns") == 3 + F.col("inserted"))
+    return n.select("item_id", fits.alias("grown"), (F.col("at") == 2).alias("placed"))
 
 
 @query("SELECT cast(o_orderkey AS STRING) AS item_id, 'hello|do it|no|' || " + UTTERANCE + " || '|D' || lpad(cast(o_orderkey AS STRING), 7, '0') || ' 맞으시죠' AS texts FROM orders")
@@ -579,6 +589,16 @@ def q_swap_report(spark, sf_dir):
     return g.withColumn("rate", S.ratio(F.col("followed"), F.col("eligible")))
 
 
+def checkpoint_dir(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's state that driver and executors share; only a local session without one has a temporary folder."""
+    import tempfile
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/{name}"
+
+
 @query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
 def s_request_stats(spark, sf_dir):
     """The event log as a stream, run to its end; the table that its complete mode leaves."""
@@ -589,7 +609,7 @@ def s_request_stats(spark, sf_dir):
     batch = read(spark, sf_dir, "events")
     log = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
     name = f"requests_{uuid.uuid4().hex}"
-    q = stream_outcomes(log, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = stream_outcomes(log, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint_dir(spark, name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

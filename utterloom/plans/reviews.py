@@ -525,3 +525,82 @@ def q_one_to_one(spark, sf_dir):
     c = conversations(spark, sf_dir)
     n = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("lines"))
     return J.one_to_one(c.select("conv_id", F.size("turns").alias("n")), n, ["conv_id"]).select("conv_id", "lines")
+
+
+# --- generation, summaries, identities
+
+
+def _specs(spark, sf_dir):
+    from .queries import q_spec_sampler
+
+    return q_spec_sampler(spark, sf_dir)
+
+
+@query("""SELECT scenario, n AS specs, n AS distinct_values, n AS dates_in_order, n AS facts_filled, n AS verified FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'refund' ELSE 'visit' END AS scenario, count(*) AS n FROM orders GROUP BY 1) x""")
+def q_spec_rules(spark, sf_dir):
+    """What every spec keeps: distinct values of a type, dates in order, facts that are the templates filled, verification as event and action."""
+    value = lambda name: F.get(F.filter("slots", lambda s: s["slot"] == name), F.lit(0))["value"]
+    from .queries import CATALOGUE
+
+    x = _specs(spark, sf_dir).withColumn("templates", F.when(F.col("scenario") == "refund", words(*CATALOGUE["refund"]["facts"])).otherwise(words(*CATALOGUE["visit"]["facts"])))
+    pairs = F.transform("slots", lambda s: F.concat_ws("/", s["type"], s["value"]))
+    later = F.coalesce(V.norm_date(value("day")) <= V.norm_date(value("new_day")), F.lit(True))
+    filled = F.size(K.fact_slots(F.col("templates"), F.col("facts"), F.col("slots"))) > 0
+    verified = F.array_contains("events", "verify") == F.array_contains("actions", "본인 확인")
+    n = F.count_if
+    return x.groupBy("scenario").agg(F.count("*").alias("specs"), n(F.size(F.array_distinct(pairs)) == F.size(pairs)).alias("distinct_values"), n(later).alias("dates_in_order"), n(filled).alias("facts_filled"), n(verified).alias("verified"))
+
+
+@query("SELECT o_orderkey % 3 = 1 AS short, count(*) AS n, count_if(o_orderkey % 3 = 2)::BIGINT AS corrected FROM orders GROUP BY 1")
+def q_summary_problems(spark, sf_dir):
+    """Summaries that are whole, too short, or that repeat a corrected number."""
+    from ..operators import dialogue as D
+
+    m = F.col("o_orderkey") % 3
+    u = utterances(spark, sf_dir)
+    whole = F.concat("text", F.lit(" 건으로 문의함. 환불을 안내하고 처리 결과를 문자로 보내기로 함. "))
+    summary = F.when(m == 1, "짧음").when(m == 2, F.concat(whole, F.lit("처음에는 D99999999 라고 말함."))).otherwise(whole)
+    slots = F.array(F.struct(F.lit("amount").alias("kind"), F.lit("금액").alias("type"), F.concat(F.floor("o_totalprice").cast("string"), F.lit("원")).alias("value")))
+    p = u.withColumn("p", D.summary_problems(summary, slots, F.lit("D99999999")))
+    return p.groupBy(F.exists("p", lambda x: x.startswith("length")).alias("short")).agg(F.count("*").alias("n"), F.count_if(F.array_contains("p", "summary repeats the corrected value")).alias("corrected"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'verification not in spec' WHEN o_orderkey % 4 = 3 THEN 'spec verification missing' END AS problem FROM orders")
+def q_verification(spark, sf_dir):
+    from ..operators import dialogue as D
+
+    m = F.col("o_orderkey") % 4
+    return read(spark, sf_dir, "orders").select("o_orderkey", D.verification_problem(F.when(m < 2, "생년월일이 어떻게 되세요").otherwise("네"), m.isin(1, 3)).alias("problem"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_orderstatus = 'F' THEN '미해결' ELSE '해결' END WHEN 1 THEN CASE WHEN o_orderpriority = '1-URGENT' THEN '2-HIGH' ELSE '1-URGENT' END ELSE CASE WHEN o_orderkey % 2 = 0 THEN '5만 원' ELSE '3만 원' END END AS target FROM orders")
+def q_inject_target(spark, sf_dir):
+    from ..operators import generate as G
+    from .calls import PRIORITIES
+
+    m = F.col("o_orderkey") % 3
+    form = F.when(m == 0, "resolution").when(m == 1, "category").otherwise("amount")
+    there = F.when(F.col("o_orderkey") % 2 == 0, words("30000")).otherwise(words("1"))
+    resolution = F.when(F.col("o_orderstatus") == "F", "해결").otherwise("이관")
+    return read(spark, sf_dir, "orders").select("o_orderkey", G.inject_target(form, resolution, F.col("o_orderpriority"), words(*PRIORITIES), there, [("30000", "3만 원"), ("50000", "5만 원")]).alias("target"))
+
+
+@query("""SELECT form, CASE form WHEN 'as_written' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) WHEN 'split_found' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 1) WHEN 'hangul_digit_names' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 2)
+  WHEN 'lost_fewer' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 3) ELSE 0 END AS n FROM (VALUES ('as_written'), ('split_found'), ('hangul_digit_names'), ('lost_hangul'), ('lost_fewer'), ('lost_more'), ('lost_changed')) AS f(form)""")
+def q_tracking_report(spark, sf_dir):
+    from ..operators import generate as G
+
+    key, m = F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.col("o_orderkey") % 4
+    a, b = F.substring(key, 1, 4), F.substring(key, 5, 4)
+    number = F.concat(F.lit("6291-"), a, F.lit("-"), b)
+    heard = F.when(m == 0, number).when(m == 1, F.concat(F.lit("6291, "), a, F.lit(" "), b)).when(m == 2, "육이구일").otherwise("6")
+    turns = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("item_id"), F.concat(F.lit("번호 "), number, F.lit(" 요")).alias("written"), F.concat(F.lit("번호 "), heard, F.lit(" 요")).alias("heard"))
+    return G.tracking_report(turns)[0]
+
+
+@query("""SELECT turn, sum(same)::BIGINT AS same, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn, CASE WHEN coalesce(length(text), 0) % 2 = 0 THEN 1 ELSE 0 END AS same FROM conversations) x WHERE turn < 3 GROUP BY 1""")
+def q_cached_turns(spark, sf_dir):
+    """The first three turns' texts against a cache that has those of even length."""
+    c = conversations(spark, sf_dir).select("conv_id", F.posexplode("turns").alias("turn", "t")).filter("turn < 3")
+    cached = c.withColumn("cached", F.when(F.length("t.text") % 2 == 0, F.col("t.text")).otherwise(F.concat("t.text", F.lit("!"))))
+    return cached.groupBy(F.col("turn").cast("long").alias("turn")).agg(F.count_if(F.col("cached") == F.col("t.text")).alias("same"), F.count("*").alias("n"))

@@ -43,11 +43,10 @@ def read_manifests(spark: SparkSession, root: str, schema: StructType | str) ->
 
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df``; reading it fails if a key repeats."""
-    from pyspark.sql import Window as W
+    """``df`` by key; reading it fails if a key repeats."""
+    from ..operators.guarded import unique
 
-    n = F.count("*").over(W.partitionBy(*keys))
-    return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("a key repeats"))).otherwise(F.lit(True))).drop("_n")
+    return unique(df, keys)
 
 
 def forward_slashes(path: Column) -> Column:
@@ -66,8 +65,29 @@ def metric_line(line: Column) -> Column:
     return F.when(line.rlike(pattern), F.struct(F.regexp_extract(line, pattern, 1).cast("long").alias("a"), F.regexp_extract(line, pattern, 2).cast("long").alias("b")))
 
 
-def matching_lines(spark: SparkSession, path: str, patterns: list[str]) -> DataFrame:
-    return spark.read.text(path).filter(F.col("value").rlike("|".join(f"(?:{p})" for p in patterns)))
+def matching_lines(spark: SparkSession, path: str, words: list[str], offset: int = 0) -> DataFrame:
+    """Lines of a log that have one of the words, from a byte offset on, which begins a line. Logs are read as whole files, one a row."""
+    raw = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.substring(F.col("content"), offset + 1, 2**31 - 1).cast("string"), "\r?\n")).alias("value"))
+    return raw.filter(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("value").contains(w)))
+
+
+#: A data set's rows. ``meta`` has no fixed keys and stays JSON text.
+ITEM = (
+    "item_id string, split string, domain string, spec struct<slots:array<struct<slot:string,type:string,value:string>>,actions:array<string>,follow_up:array<string>,events:array<string>,"
+    "distractor:struct<slot:string,type:string,value:string>,facts:array<string>>, turns array<struct<speaker:string,text:string>>, summary string, source string, meta string"
+)
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Typed items with ord, their place in file order; items without an id or turns fail the read."""
+    rows = read_jsonl(spark, path, ITEM)
+    bad = F.col("item_id").isNull() | F.col("turns").isNull()
+    return rows.filter(F.when(bad, F.raise_error(F.lit("an item needs item_id and turns"))).otherwise(F.lit(True))).withColumn("ord", F.monotonically_increasing_id())
+
+
+def canonical_key(columns: list[str]) -> Column:
+    """JSON text of the columns in the order of their names: equal settings are equal texts."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
 def load_declarations(text: str, tables: tuple[str, ...]) -> list[dict]:
@@ -86,7 +106,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def markdown(report: DataFrame, most: int = 1000) -> str:
-    """A finished report (few rows) as a Markdown table."""
-    rows = report.limit(most).collect()
+    """A finished report as a Markdown table; more than ``most`` rows are an error, none is left out."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     line = lambda cells: "| " + " | ".join("-" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(report.columns), line("---" for _ in report.columns), *map(line, rows)])

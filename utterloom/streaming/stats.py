@@ -49,3 +49,18 @@ def stream_last_n(log: DataFrame, key: str, order: str, value: str, n: int) -> D
 def windowed_counts(log: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension: tumbling counts with a watermark."""
     return log.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n"))
+
+
+def valid_requests(requests: DataFrame, problems, good: str, bad: str, checkpoint: str):
+    """A query that parts a stream of requests into rows without problems and, with their problems, dead letters; both folders are
+    appended to once for each batch. ``problems``: a Column of texts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        x = batch.withColumn("problems", problems).withColumn("batch", F.lit(number)).persist()
+        try:
+            for path, rows in ((good, x.filter(F.size("problems") == 0).drop("problems")), (bad, x.filter(F.size("problems") > 0))):
+                rows.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that comes again replaces itself
+        finally:
+            x.unpersist()
+
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
