@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import sum_blocks
-from .shared import lean, shuffle_parts, stored
+from .shared import give_back, lean, shuffle_parts, stored
 from .text import mix, pieces, utf8, word_hashes
 
 VOCAB, CLASSES, PREV = 8192, 32, 128
@@ -411,6 +411,7 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
             w[k : k + step] += a[:, :-1] / np.maximum(a[:, -1:], 1)
         sent.destroy()  # the driver's copy too
     fixed.destroy()
+    give_back()
     return w
 
 
@@ -481,6 +482,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     sent = stored(docs.mapInArrow(lean(send), "uid long, bucket int, a binary, b binary, c binary, d binary, e binary"), "scored")
+    model.destroy()  # the pass that needs it has run
+    give_back()
 
     def find(batches):
         table, asked = {}, {}

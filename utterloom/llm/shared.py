@@ -18,14 +18,19 @@ KEPT: dict[str, object] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
-def _tidy(owner: str) -> None:
-    for other in [k for k in KEPT if k != owner]:
-        del KEPT[other]
+def give_back() -> None:
+    """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
+def _tidy(owner: str) -> None:
+    for other in [k for k in KEPT if k != owner]:
+        del KEPT[other]
+    give_back()
+
+
 def _tidied(run: Callable[..., Iterator], batches: Iterator) -> Iterator:
     _tidy(run.__module__)
     try:
