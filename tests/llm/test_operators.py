@@ -106,6 +106,44 @@ def test_column_index_is_the_suffix_array():
         assert x.bwt.tolist() == [int(sym[p - 1]) if p not in start else -1 for p in x.suffix]
 
 
+def test_groups_of_windows_equal_brute_force(monkeypatch):
+    """Whatever the size of a collection: one hash may go on over many of them."""
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2, 300).astype(np.uint8)
+    for chunk, held in ((3, 1 << 22), (50, 40), (1 << 16, 1 << 22)):
+        monkeypatch.setattr(suffix, "CHUNK", chunk)
+        monkeypatch.setattr(suffix, "HELD", held)
+        segs = []
+        for _ in range(25):
+            n, a = int(rng.integers(1, 86)), int(rng.integers(0, 8))
+            x = base[a : a + n + 99].copy()
+            if rng.random() < 0.7:
+                x[rng.integers(0, len(x))] ^= 1
+            segs.append(x)
+        rid, pos = rng.integers(0, 6, 25), rng.permutation(25) * 1000
+        count = np.array([len(x) - 99 for x in segs])
+        s, w = suffix.repeats_of_groups(np.concatenate(segs), np.append(0, np.cumsum([len(x) for x in segs])), count, rid, pos, np.full(25, 7, np.uint64))
+        seen, want = set(), []
+        for _, _, k, o in sorted((rid[k], pos[k] + o, k, o) for k in range(25) for o in range(count[k])):
+            if (x := segs[k][o : o + 100].tobytes()) in seen:
+                want.append((k, o))
+            seen.add(x)
+        assert sorted(zip(s.tolist(), w.tolist(), strict=True)) == sorted(want) and want
+
+
+def test_a_common_phrase_is_no_reason_to_compare_bytes(spark):
+    """Documents that share 40 bytes share minimizers, but no window; those that share 90 bytes or more are compared, in groups of their own."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ijklmnop") for _ in range(n))
+    phrase = text(40)
+    apart = [(k, f"{text(90)}{phrase}{text(90)}") for k in range(400)]
+    settled = suffix.settle_equal_segments(spark.createDataFrame(apart, "rid long, text string"))
+    assert settled.filter(f"{settled.columns[-1]} IS NOT NULL").count() == 0
+    long = [text(90), text(99), text(100), text(130)]
+    rows = apart + [(1000 + k, f"{text(k % 7)}{long[k % 4]}{text(60)}") for k in range(120)]
+    assert by_id(suffix.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == by_id(brute_removed(rows))
+
+
 # --- decontamination
 
 

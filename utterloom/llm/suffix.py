@@ -2,14 +2,16 @@
 
 Every 100-byte window is dealt by its minimizer, the least hash of its 16-byte strings, so equal windows meet. Runs of windows
 with one minimizer travel as one segment. Segments of equal content are settled by their digest, inside each batch before
-any shuffle and then across batches: all but the first are repeats. Only first segments that share a minimizer with another
-content need their bytes. These are the documents of the column-wise construction (``ColumnIndex``): from the right, each
-round inserts one symbol of every document, updating the suffix order, the collection's BWT and the common prefixes. Windows
-with a common prefix of 100 bytes are one class; all but its first are repeats.
+any shuffle and then across batches: all but the first are repeats. Equal windows also have their minimizer at one offset. So
+windows are parted by ``CUTS`` of that offset, and the bytes that all windows of a part have in common, its core, are equal
+too. Only first segments that share a core with another content need the bytes of that part, and the core deals them out.
 
-A symbol is a block of ``WIDTH`` bytes, one document for each of its offsets; so a window is four symbols. A task's
-collection is cut at whole minimizer groups into batches of about ``BATCH`` bytes, which stay in memory as sequential arrays
-instead of files.
+A window whose hash comes only once in its core's group is no repeat. The others are the documents of the column-wise
+construction (``ColumnIndex``): from the right, each round inserts one symbol of every document, updating the suffix order, the
+collection's BWT and the common prefixes. Windows with a common prefix of 100 bytes are one class; all but its first are repeats.
+
+A symbol is a block of ``WIDTH`` bytes; so a window is four symbols. A group's windows go by their hash, ``CHUNK`` at a time,
+with the distinct ones of the hash that goes on; a chunk's collection stays in memory as sequential arrays instead of files.
 
 Ids: order is by doc_id, nulls first. If ids repeat, the rows are put in one order first and the later counts as later.
 Null and empty texts have no windows and stay as they are. Very long texts are cut into overlapping sections, whose windows
@@ -30,7 +32,10 @@ from .text import mix, power_table, utf8
 
 WINDOW, GRAM, WIDTH = 100, 16, 25
 SECTION = 1 << 19
-BATCH = 1 << 20
+#: Bytes of a batch of groups, windows of a collection, and windows whose hashes are held at once.
+BATCH, CHUNK, HELD = 1 << 20, 1 << 16, 1 << 22
+#: Parts of the offset of the minimizer in the window; a part's windows have all but its width of their bytes in common.
+CUTS = (0, 22, 43, 64, WINDOW - GRAM + 1)
 
 _B = 0x9E3779B97F4A7C15
 _BI = pow(_B, -1, 1 << 64)
@@ -54,7 +59,8 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: document, start in it, windows, minimizer's hash, content's hash."""
+    """Runs of windows with one minimizer: document, start in it, windows, minimizer's hash, content's hash, the minimizer's offset in
+    the first window, and a hash of the core of each part (0 where the run has no window of it)."""
     out: list[tuple[np.ndarray, ...]] = []
     group: list[tuple[int, int, int]] = []  # document, first byte, end byte
 
@@ -89,9 +95,15 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         first, count = first[keep], count[keep]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((d.astype(np.uint64) + np.uint64(1)) * pw[: len(d)], dtype=np.uint64)])
         content = mix((total[first + count + WINDOW - 1] - total[first]) * inv[first] + count.astype(np.uint64))
+        lead = where[first] - first
+        cores = np.zeros((len(first), len(CUTS) - 1), np.uint32)
+        for k, (low, high) in enumerate(zip(CUTS[:-1], CUTS[1:], strict=True)):
+            q = np.flatnonzero((lead >= low) & (lead - count < high - 1))
+            a = where[first[q]] - low
+            cores[q, k] = mix((total[a + WINDOW + low - high + 1] - total[a]) * inv[a]) >> np.uint64(32)
         doc = np.searchsorted(at, first, "right") - 1
         base = np.array([g[1] for g in group]) - off[[g[0] for g in group]]
-        out.append((np.array([g[0] for g in group])[doc], first - at[doc] + base[doc], count, h[where[first]], content))
+        out.append((np.array([g[0] for g in group])[doc], first - at[doc] + base[doc], count, h[where[first]], content, lead, cores))
         group.clear()
 
     held = 0
@@ -109,7 +121,7 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     flush()
     if not out:
         e = np.zeros(0, np.int64)
-        return e, e, e, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return e, e, e, np.zeros(0, np.uint64), np.zeros(0, np.uint64), e, np.zeros((0, len(CUTS) - 1), np.uint32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -182,36 +194,75 @@ class ColumnIndex:
         at[docs] = put
 
 
-def repeated_windows(content: np.ndarray, start: np.ndarray, rid: np.ndarray, pos: np.ndarray, window: int = WINDOW, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, window's offset in it) of windows that are not the first of their class; first: least (rid, pos)."""
-    size = np.diff(start)
-    n, cap = len(size), window // width
-    seg = np.tile(np.arange(n), width)
-    phase = np.repeat(np.arange(width), n)
-    count = np.maximum((size[seg] - phase) // width, 0)
-    at = np.cumsum(count) - count
-    total = int(count.sum())
-    doc = np.repeat(np.arange(len(seg)), count)
-    byte = start[seg[doc]] + phase[doc] + (np.arange(total) - at[doc]) * width
-    v = words8(np.append(content, np.zeros(8, np.uint8)))
-    h, k = np.zeros(total, np.uint64), 0
-    for k in range(0, width - 7, 8):
-        h = mix(h ^ v[byte + k])
-    for j in range(k + 8 if width >= 8 else 0, width):
-        h = mix(h ^ content[byte + j].astype(np.uint64) + np.uint64(1))
+def repeated_windows(content: np.ndarray, at: np.ndarray, window: int = WINDOW, width: int = WIDTH) -> np.ndarray:
+    """Which of the windows that start at ``at`` equal an earlier one of the list."""
+    n, cap = len(at), window // width
+    block = np.zeros((n * cap, -(-width // 8) * 8), np.uint8)
+    block[:, :width] = np.lib.stride_tricks.sliding_window_view(content, window)[at].reshape(-1, width)
+    h = np.zeros(n * cap, np.uint64)
+    for word in block.view(np.uint64).T:
+        h = mix(h ^ word)
     _, rank = np.unique(h, return_inverse=True)
-    index = ColumnIndex(rank, np.append(at, total), cap).build()
+    index = ColumnIndex(rank, np.arange(0, n * cap + 1, cap), cap).build()
     same = index.lcp >= cap
     many = same.copy()
     many[:-1] |= same[1:]
-    cls = np.cumsum(~same)[many]
-    place = index.suffix[many]
-    s, o = seg[doc[place]], byte[place]
-    o = o - start[s]
-    order = np.lexsort((pos[s] + o, rid[s], cls))
-    cls, s, o = cls[order], s[order], o[order]
-    again = np.concatenate([np.zeros(1, bool), cls[1:] == cls[:-1]]) if len(cls) else np.zeros(0, bool)
-    return s[again], o[again]
+    cls, doc = np.cumsum(~same)[many], index.suffix[many] // cap
+    order = np.lexsort((doc, cls))
+    cls, doc = cls[order], doc[order]
+    again = np.zeros(n, bool)
+    again[doc[1:][cls[1:] == cls[:-1]]] = True
+    return again
+
+
+def window_hashes(content: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start at ``at``."""
+    pw, inv = _tables()
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), SECTION):
+        q = at[i : i + SECTION]
+        for a in range(int(q.min()), int(q.max()) + 1, SECTION):
+            here = slice(*np.searchsorted(q, [a, a + SECTION]))
+            d = content[a : a + SECTION + WINDOW].astype(np.uint64) + np.uint64(1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(d * pw[: len(d)], dtype=np.uint64)])
+            p = q[here] - a
+            out[i : i + SECTION][here] = mix((total[p + WINDOW] - total[p]) * inv[p])
+    return out
+
+
+def repeats_of_groups(content: np.ndarray, start: np.ndarray, count: np.ndarray, rid: np.ndarray, pos: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window's offset in it) of windows that equal one of lesser (rid, pos) in their group. Segments lie one after another in
+    ``content``; ``start`` has one entry more."""
+    upto = np.cumsum(count)
+    held = max(-(-int(count.sum()) // HELD), 1)
+    seg_out, off_out = [], []
+    for part in range(held):
+        kept = []
+        for i in range(0, int(upto[-1]), SECTION):
+            w = np.arange(i, min(i + SECTION, int(upto[-1])))
+            s = np.searchsorted(upto, w, "right")
+            x = mix(window_hashes(content, start[s] + w - (upto - count)[s]) ^ group[s])
+            q = x % np.uint64(held) == part
+            kept.append((w[q], x[q]))
+        w, x = (np.concatenate(z) for z in zip(*kept, strict=True))
+        o = np.argsort(x, kind="stable")
+        w, x = w[o], x[o]
+        same = x[1:] == x[:-1]
+        many = np.append(same, False) | np.append(False, same) if len(x) else np.zeros(0, bool)
+        w, x = w[many], x[many]
+        s = np.searchsorted(upto, w, "right")
+        off = w - (upto - count)[s]
+        o = np.lexsort((pos[s] + off, rid[s], x))
+        s, off, x = s[o], off[o], x[o]
+        carry = np.zeros(0, np.int64)
+        for i in range(0, len(x), CHUNK):
+            q = np.append(carry, np.arange(i, min(i + CHUNK, len(x))))
+            again = repeated_windows(content, start[s[q]] + off[q])
+            seg_out.append(s[q[again]])
+            off_out.append(off[q[again]])
+            carry = q[~again & (x[q] == x[q[-1]])]
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + seg_out), np.concatenate(none + off_out)
 
 
 def _runs(rid: np.ndarray, pos: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,28 +277,28 @@ def _runs(rid: np.ndarray, pos: np.ndarray, count: np.ndarray) -> tuple[np.ndarr
     return rid[first], pos[first], np.maximum.reduceat(end, first) - pos[first]
 
 
-RANGE = "rid long, pos long, count long, minimizer long"
+RANGE = "rid long, pos long, count long, core long"
 
 
-def _range_batch(rid, pos, count, minimizer=None) -> pa.RecordBatch:
-    m = pa.nulls(len(rid), pa.int64()) if minimizer is None else pa.array(minimizer.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (rid, pos, count)] + [m], ["rid", "pos", "count", "minimizer"])
+def _range_batch(rid, pos, count, core=None) -> pa.RecordBatch:
+    m = pa.nulls(len(rid), pa.int64()) if core is None else pa.array(core.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (rid, pos, count)] + [m], ["rid", "pos", "count", "core"])
 
 
 def settle_equal_segments(docs: DataFrame) -> DataFrame:
-    """Stored: repeated window ranges (minimizer null), and the segments whose bytes must be compared.
+    """Stored: repeated window ranges (core null), and the parts of segments whose bytes must be compared.
 
     ``docs``: rid, text. Segments travel as a few rows of packed arrays for each bucket of minimizers.
     """
     buckets = 2 * max(shuffle_parts(docs.sparkSession), 12)
 
     def send(batches):
-        names = ["bucket", "h", "c", "rid", "pos", "count"]
+        names = ["bucket", "h", "c", "rid", "pos", "count", "lead", "cores"]
         nothing = lambda k, t: pa.nulls(k, t)
         for b in batches:
             data, off = utf8(b.column(1))
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            doc, pos, count, h, c = segments(data, off)
+            doc, pos, count, h, c, lead, cores = segments(data, off)
             rid = ids[doc]
             key = mix(h ^ mix(c))
             o = np.lexsort((pos, rid, key))
@@ -255,7 +306,7 @@ def settle_equal_segments(docs: DataFrame) -> DataFrame:
             new[1:] = key[o][1:] != key[o][:-1]
             r, p, n = _runs(rid[o[~new]], pos[o[~new]], count[o[~new]])
             if len(r):
-                yield pa.RecordBatch.from_arrays([nothing(1, pa.int32()), nothing(1, pa.binary()), nothing(1, pa.binary()), *(pa.array([x.astype(np.int64).tobytes()]) for x in (r, p, n))], names)
+                yield pa.RecordBatch.from_arrays([nothing(1, pa.int32()), nothing(1, pa.binary()), nothing(1, pa.binary()), *(pa.array([x.astype(np.int64).tobytes()]) for x in (r, p, n)), nothing(1, pa.binary()), nothing(1, pa.binary())], names)
             o = o[new]
             to = (h[o] % np.uint64(buckets)).astype(np.int64)
             o = o[np.argsort(to, kind="stable")]
@@ -266,7 +317,7 @@ def settle_equal_segments(docs: DataFrame) -> DataFrame:
                 for k in range(k0, min(k0 + 64, buckets)):
                     q = np.sort(o[cut[k] : cut[k + 1]])
                     if len(q):
-                        rows.append((k, h[q].tobytes(), c[q].tobytes(), rid[q].astype(np.int64).tobytes(), pos[q].astype(np.int64).tobytes(), count[q].astype(np.int16).tobytes() if count.max(initial=0) < 1 << 15 else count[q].astype(np.int64).tobytes()))
+                        rows.append((k, h[q].tobytes(), c[q].tobytes(), rid[q].astype(np.int64).tobytes(), pos[q].astype(np.int64).tobytes(), count[q].astype(np.uint8).tobytes(), lead[q].astype(np.uint8).tobytes(), cores[q].tobytes()))
                 if rows:
                     z = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), *(pa.array(x, pa.binary()) for x in z[1:])], names)
@@ -276,13 +327,14 @@ def settle_equal_segments(docs: DataFrame) -> DataFrame:
         for b in batches:
             for bucket, *raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if bucket is None:
-                    r, p, n = (np.frombuffer(x, np.int64) for x in raw[2:])
+                    r, p, n = (np.frombuffer(x, np.int64) for x in raw[2:5])
                     yield _range_batch(r, p, n)
                 else:
                     by.setdefault(bucket, []).append(raw)
         for raws in by.values():
             h, c, rid, pos = (np.concatenate([np.frombuffer(r[k], d) for r in raws]) for k, d in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
-            count = np.concatenate([np.frombuffer(r[4], np.int16 if len(r[4]) * 4 == len(r[3]) else np.int64).astype(np.int64) for r in raws])
+            count, lead = (np.concatenate([np.frombuffer(r[k], np.uint8) for r in raws]).astype(np.int64) for k in (4, 5))
+            cores = np.concatenate([np.frombuffer(r[6], np.uint32) for r in raws]).reshape(len(h), -1)
             raws.clear()
             o = np.argsort(h, kind="stable")
             hs = h[o]
@@ -291,68 +343,73 @@ def settle_equal_segments(docs: DataFrame) -> DataFrame:
             o = o[np.repeat(size > 1, size)]
             if not len(o):
                 continue
-            h, c, rid, pos, count = h[o], c[o], rid[o], pos[o], count[o]
-            o = np.lexsort((pos, rid, c, h))
+            o = o[np.lexsort((pos[o], rid[o], c[o], h[o]))]
             h, c, rid, pos, count = h[o], c[o], rid[o], pos[o], count[o]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             r, p, n = _runs(rid[~new], pos[~new], count[~new])
             if len(r):
                 yield _range_batch(r, p, n)
-            h, rid, pos, count = h[new], rid[new], pos[new], count[new]
+            h, rid, pos, count, o = h[new], rid[new], pos[new], count[new], o[new]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(first, len(h)))
             many = np.repeat(size > 1, size)
-            if many.any():
-                yield _range_batch(rid[many], pos[many], count[many], h[many])
-
-    schema = "bucket int, h binary, c binary, rid binary, pos binary, count binary"
+            h, rid, pos, count, lead, cores = h[many], rid[many], pos[many], count[many], lead[o[many]], cores[o[many]]
+            for k, (low, high) in enumerate(zip(CUTS[:-1], CUTS[1:], strict=True)):
+                near, far = np.maximum(lead - count + 1, low), np.minimum(lead, high - 1)  # offsets of the part's last and first window
+                q = np.flatnonzero(near <= far)
+                group = mix(h[q] ^ mix((cores[q, k].astype(np.uint64) << np.uint64(3)) + np.uint64(k)))
+                o = np.argsort(group, kind="stable")
+                q, group = q[o], group[o]
+                same = group[1:] == group[:-1]
+                if same.any():
+                    both = np.append(same, False) | np.append(False, same)
+                    q, group = q[both], group[both]
+                    yield _range_batch(rid[q], pos[q] + lead[q] - far[q], far[q] - near[q] + 1, group)
+
+    schema = "bucket int, h binary, c binary, rid binary, pos binary, count binary, lead binary, cores binary"
     sent = docs.mapInArrow(lean(send), schema).repartition(buckets, F.coalesce("bucket", F.hash("rid")))
     return stored(sent.mapInArrow(lean(meet), RANGE), "segments")
 
 
 def compare_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Repeated window ranges among segments of different content. ``asked``: rid, pos, count, minimizer."""
+    """Repeated window ranges among segments of different content. ``asked``: rid, pos, count, core."""
     buckets = 2 * max(shuffle_parts(docs.sparkSession), 12)
-    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("pos", "count", "minimizer")).alias("want"))
+    by_doc = asked.groupBy("rid").agg(F.collect_list(F.struct("pos", "count", "core")).alias("want"))
 
     def fetch(batches):
+        held, pieces, size = [], [], 0
         for b in batches:
-            rows, held = [], 0
             for i in range(len(b)):
                 rid, text = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 raw = (text or "").encode()
                 want = b.column(2).slice(i, 1).flatten()
                 pos, count, m = (want.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                to = (m.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                for k in np.unique(to).tolist():
-                    q = np.flatnonzero(to == k)
-                    body = b"".join(raw[p : p + n + WINDOW - 1] for p, n in zip(pos[q].tolist(), count[q].tolist(), strict=True))
-                    rows.append((k, rid, pos[q].tobytes(), count[q].tobytes(), m[q].tobytes(), body))
-                    held += len(body)
-                if held > 4 << 20:
-                    yield _packed(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _packed(rows)
+                held.append((np.full(len(pos), rid, np.int64), pos, count, m))
+                pieces += [raw[p : p + n + WINDOW - 1] for p, n in zip(pos.tolist(), count.tolist(), strict=True)]
+                size += int(count.sum()) + (WINDOW - 1) * len(pos)
+                if size > 4 << 20:
+                    yield _packed(held, pieces, buckets)
+                    held, pieces, size = [], [], 0
+        if held:
+            yield _packed(held, pieces, buckets)
 
     def compare(batches):
-        pieces = {}
+        by: dict[int, list] = {}
         for b in batches:
-            for bucket, rid, pos, count, m, body in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                pieces.setdefault(bucket, []).append((rid, np.frombuffer(pos, np.int64), np.frombuffer(count, np.int64), np.frombuffer(m, np.int64), np.frombuffer(body, np.uint8)))
-        for part in pieces.values():
-            rid = np.repeat(np.array([p[0] for p in part], np.int64), [len(p[1]) for p in part])
-            pos, count, m = (np.concatenate([p[k] for p in part]) for k in (1, 2, 3))
-            body = np.concatenate([p[4] for p in part])
-            part.clear()
+            for bucket, *raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                by.setdefault(bucket, []).append(raw)
+        for raws in by.values():
+            rid, pos, count, m = (np.concatenate([np.frombuffer(r[k], np.int64) for r in raws]) for k in range(4))
+            body = np.frombuffer(b"".join(r[4] for r in raws), np.uint8)
+            raws.clear()
             size = count + WINDOW - 1
             at = np.cumsum(size) - size
             o = np.argsort(m, kind="stable")
             new = np.flatnonzero(np.concatenate([[True], m[o][1:] != m[o][:-1]]))
             load = np.cumsum(size[o])
             i = 0
-            while i < len(o):  # whole minimizer groups, about BATCH bytes
+            while i < len(o):  # whole groups, about BATCH bytes
                 k = int(np.searchsorted(load, (load[i - 1] if i else 0) + BATCH, "right"))
                 j = int(np.searchsorted(new, k, "right")) - 1
                 k = int(new[j]) if k < len(o) and new[j] > i else k
@@ -360,28 +417,34 @@ def compare_segments(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     k = int(new[j + 1]) if j + 1 < len(new) else len(o)
                 q = o[i:k]
                 start = np.append(0, np.cumsum(size[q]))
-                index = np.repeat(at[q] - start[:-1], size[q]) + np.arange(start[-1])
-                s, w = repeated_windows(body[index], start, rid[q], pos[q])
+                group = np.concatenate([body[a : a + n] for a, n in zip(at[q].tolist(), size[q].tolist(), strict=True)])
+                s, w = repeats_of_groups(group, start, count[q], rid[q], pos[q], m[q].view(np.uint64))
                 r, p, n = _runs(rid[q][s], pos[q][s] + w, np.ones(len(s), np.int64))
                 if len(r):
                     yield _range_batch(r, p, n)
                 i = k
 
-    sent = docs.join(by_doc, "rid").select("rid", "text", "want").mapInArrow(lean(fetch), "bucket int, rid long, pos binary, count binary, m binary, body binary")
+    sent = docs.join(by_doc, "rid").select("rid", "text", "want").mapInArrow(lean(fetch), "bucket int, rid binary, pos binary, count binary, m binary, body binary")
     return stored(sent.repartition(buckets, "bucket").mapInArrow(lean(compare), RANGE), "repeats")
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
+def _packed(held: list[tuple], pieces: list[bytes], buckets: int) -> pa.RecordBatch:
+    """A row of packed arrays and joined bytes for each bucket of cores."""
+    cols = [np.concatenate(z) for z in zip(*held, strict=True)]
+    to = (cols[-1].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    o = np.argsort(to, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], to[o][1:] != to[o][:-1]]))
+    rows = [(int(to[q[0]]), *(x[q].tobytes() for x in cols), b"".join(pieces[j] for j in q.tolist())) for q in np.split(o, first[1:])]
     z = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), pa.array(z[1], pa.int64()), *(pa.array(x, pa.binary()) for x in z[2:])], ["bucket", "rid", "pos", "count", "m", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), *(pa.array(x, pa.binary()) for x in z[1:])], ["bucket", "rid", "pos", "count", "m", "body"])
 
 
 def repeats(ordered: DataFrame) -> DataFrame:
     """Ranges (rid, pos, count) of windows that also start earlier. ``ordered``: rid, text."""
     docs = ordered.select("rid", "text")
     settled = settle_equal_segments(docs)
-    more = compare_segments(docs, settled.filter("minimizer IS NOT NULL"))
-    return settled.filter("minimizer IS NULL").union(more).select("rid", "pos", "count")
+    more = compare_segments(docs, settled.filter("core IS NOT NULL"))
+    return settled.filter("core IS NULL").union(more).select("rid", "pos", "count")
 
 
 def covered(n: int, pos: np.ndarray, count: np.ndarray, window: int = WINDOW) -> np.ndarray:
