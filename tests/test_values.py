@@ -143,7 +143,7 @@ def test_resampled_sums_skip_nulls(spark):
         assert tuple(got[rep]) == (rep, sum(rows[p][1] or 0 for p in d), sum(rows[p][2] for p in d), None)
 
 
-@pytest.mark.parametrize("name", ["q_bootstrap_ci_2000", "q_flag_difference", "q_kappa_boot", "q_value_recall_ci"])
+@pytest.mark.parametrize("name", ["q_bootstrap_ci_2000", "q_flag_difference", "q_kappa_boot", "q_kappa_difference", "q_value_recall_ci"])
 def test_draws_are_no_rows(spark, name):
     """The plan makes no row for each draw."""
     from utterloom.plans import queries as own
