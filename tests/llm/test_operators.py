@@ -316,6 +316,40 @@ def test_steps_of_the_tree_are_a_distribution(n):
 # --- classifiers
 
 
+
+def test_updates_equal_plain_adagrad_and_only_training_texts_are_read(monkeypatch):
+    rng = np.random.default_rng(5)
+    for k, kinds in ((3000, 4), (3000, 700), (40, 4000), (1, 9), (0, 9)):
+        rows = np.stack([np.zeros(k, np.int64), *(1 + (kinds * rng.random(k) ** 3).astype(np.int64) for _ in range(3))], 1)
+        y, start = rng.integers(0, maxent.CLASSES, k), rng.normal(size=(k, maxent.CLASSES)).astype(np.float32)
+        w, speed = (rng.normal(size=(1 << 14, maxent.CLASSES))).astype(np.float32), np.ones(1 << 14, np.float32)
+        z = start.astype(float) + w[rows].astype(float).sum(1)
+        g, plain, pace = maxent.softmax(z) - np.eye(maxent.CLASSES)[y], w.astype(float), speed.astype(float)
+        for j in range(rows.shape[1]):
+            total, n = np.zeros(plain.shape), np.bincount(rows[:, j], minlength=len(w))
+            np.add.at(total, rows[:, j], g)
+            total /= np.sqrt(np.maximum(n, 1))[:, None]
+            pace += (total**2).mean(1)
+            plain -= maxent.RATE * total / np.sqrt(pace)[:, None]
+        maxent.update(w, speed, rows, start, y, maxent.Room())
+        assert np.allclose(w, plain, atol=1e-4) and np.allclose(speed, pace, rtol=1e-4)
+    z = np.array([[0.0] * 32, [400.0] + [300.0] * 31, [-500.0] * 31 + [-600.0]], np.float32)
+    e, whole = maxent.exps(z, maxent.Room())
+    assert np.allclose(z[:, 0] - np.log(whole), [-np.log(32), 0, -np.log(31)], atol=1e-5) and np.allclose(e / whole[:, None], maxent.softmax(z))
+    vocab = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    vocab[:9] = np.arange(9)  # share their upper bits
+    tokens = np.concatenate([vocab, rng.integers(0, 1 << 63, 9000).astype(np.uint64), np.arange(20, dtype=np.uint64)])
+    place = {v: i for i, v in enumerate(vocab.tolist())}
+    assert maxent.lookup(tokens, vocab).tolist() == [place.get(t, 500) for t in tokens.tolist()] and maxent.lookup(tokens, vocab[:0]).tolist() == [0] * len(tokens)
+    read, hashed = [], maxent.word_hashes
+    monkeypatch.setattr(maxent, "word_hashes", lambda d, off: read.append(len(off) - 1) or hashed(d, off))
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(90), pa.int64()), "text": pa.array(["a b"] * 90)})
+    rounds = [[r.tolist() for r, _, _ in maxent.token_pieces(maxent._train_rows(b, k), 1)] for k in range(maxent.ROUNDS)]
+    assert sum(len(x) for r in rounds for x in r) == sum(read) == sum(not maxent.held_out(i) for i in range(90)) < 90
+
+
 def prose(spark, bad):
     rng = np.random.default_rng(0)
     out = []

@@ -40,6 +40,8 @@ VOCAB, CLASSES, PREV = 8192, 32, 128
 ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 3, 0.25
 DIGIT, MOST_DIGITS = 5, 3
 FEATURES = 5
+#: Tokens of an update and of a scored batch, bits of a step's place in an update, rows that are added up at once.
+STEP, PLACE, BLOCK = 4096, 16, 16
 #: Features of the steps below the root: their bias is what they start from, and the word three back says nothing more there.
 DEEP = [1, 2, 4]
 END = np.uint64(0x5851F42D4C957F2D)
@@ -50,7 +52,7 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
 
-def token_pieces(batch: pa.RecordBatch, k: int, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def token_pieces(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, tokens, borders): word hashes with an end token after each document's."""
     data, off = utf8(batch.column(k))
     for a, b in pieces(off):
@@ -64,18 +66,13 @@ def token_pieces(batch: pa.RecordBatch, k: int, keep: np.ndarray | None = None)
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = w
-        if keep is not None:
-            chosen = keep[a:b]
-            if not chosen.any():
-                continue
-            tokens = tokens[np.repeat(chosen, size)]
-            rows, border = rows[chosen], np.append(0, np.cumsum(size[chosen]))
         yield rows, tokens, border
 
 
-def _train_rows(b: pa.RecordBatch, round_: int | None = None) -> np.ndarray:
+def _train_rows(b: pa.RecordBatch, round_: int | None = None) -> pa.RecordBatch:
+    """The rows that train, or train in this round: only their texts are read as words."""
     ids = b.column(0).to_pylist()
-    return np.array([not held_out(i) and (round_ is None or zlib.crc32(f"round {i}".encode()) % ROUNDS == round_) for i in ids], bool)
+    return b.filter(pa.array([not held_out(i) and (round_ is None or zlib.crc32(f"round {i}".encode()) % ROUNDS == round_) for i in ids], pa.bool_()))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -94,7 +91,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     def send(batches):
         held, size = [], 0
         for b in batches:
-            for _, tokens, _ in token_pieces(b, 1, _train_rows(b)):
+            for _, tokens, _ in token_pieces(_train_rows(b), 1):
                 h, n = np.unique(tokens, return_counts=True)
                 held.append((h, n.astype(np.int64)))
                 size += len(h)
@@ -148,11 +145,20 @@ def frequent(counts: DataFrame, most: int = VOCAB) -> tuple[np.ndarray, np.ndarr
 
 def lookup(tokens: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     """Place of each token in the sorted vocabulary, else its length."""
-    if not len(vocab):
-        return np.zeros(len(tokens), np.int64)
-    k = np.searchsorted(vocab, tokens)
-    k[k == len(vocab)] = 0
-    return np.where(vocab[k] == tokens, k, len(vocab))
+    n = len(vocab)
+    if len(tokens) < 4096 or n > 1 << 16:
+        k = np.searchsorted(vocab, tokens)
+        k[k == n] = 0
+        return np.where(vocab[k] == tokens, k, n) if n else np.zeros(len(tokens), np.int64)
+    upper = np.uint64(47)  # the table of upper bits costs less than a search
+    begin = np.append(0, np.cumsum(np.bincount((vocab >> upper).astype(np.int64), minlength=1 << 17)))
+    k, out = begin.take((tokens >> upper).astype(np.int64)), np.full(len(tokens), n)
+    for _ in range(int(np.diff(begin).max())):
+        k = np.minimum(k, max(n - 1, 0))
+        if n:
+            np.copyto(out, k, where=vocab.take(k) == tokens)
+        k += 1
+    return out
 
 
 def buckets_of(vocab: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -174,10 +180,10 @@ def previous(x: np.ndarray, border: np.ndarray, k: int, blank: int) -> np.ndarra
 
 
 def feature_hashes(tokens: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """Hashes of each token's context, ``FEATURES`` of them; the first is the bias."""
+    """Hashes of each token's context, ``FEATURES`` of them; the first is the bias. A feature's hashes lie one after another."""
     blank = np.uint64(7)
     p1, p2, p3 = (previous(tokens, border, k, blank) for k in (1, 2, 3))
-    out = np.zeros((len(tokens), FEATURES), np.uint64)
+    out = np.zeros((len(tokens), FEATURES), np.uint64, order="F")
     for j, h in enumerate((p1, p2 * np.uint64(3), p3 * np.uint64(5), p1 * np.uint64(7) + p2 * np.uint64(11)), 1):
         out[:, j] = mix(h)
     return out
@@ -191,30 +197,39 @@ def rows_at(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def logits(w: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-    z = start.copy()
-    for j in range(rows.shape[1]):
-        z += w.take(rows[:, j], 0)
-    return z
+class Room:
+    """Rows of digits by name that are used again, as memory that is new each time costs more than what is written there."""
 
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-def update(w: np.ndarray, speed: np.ndarray, seen: np.ndarray, rows: np.ndarray, start: np.ndarray, y: np.ndarray) -> None:
-    """Adagrad on the rows of steps to the digits ``y``, a feature at a time; a row's change is between the mean and the sum of its steps'."""
-    g = softmax(logits(w, rows, start))
-    g[np.arange(len(y)), y] -= 1
-    for j in range(rows.shape[1]):
-        o = np.argsort(rows[:, j])
-        sorted_rows = rows[o, j]
-        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]])) if len(o) else o
-        which, n = sorted_rows[first], np.diff(np.append(first, len(o)))
-        total, many = np.empty((len(which), CLASSES), np.float32), n > 1
-        total[~many] = g[o[first[~many]]]
-        if many.any():
-            total[many] = np.add.reduceat(g[o[np.repeat(many, n)]], np.cumsum(n[many]) - n[many], axis=0)
-        total /= np.sqrt(n, dtype=np.float32)[:, None]
-        speed[which] += np.einsum("ij,ij->i", total, total) / CLASSES
-        w[which] -= (RATE / np.sqrt(speed[which]))[:, None] * total
-        seen[which] += n
+    def rows(self, name: str, n: int) -> np.ndarray:
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty((n + n // 4, CLASSES), np.float32)
+        return self.held[name][:n]
+
+
+def logits(w: np.ndarray, rows: np.ndarray, start: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """``start`` with the weights of all features added, in place."""
+    part = (room or Room()).rows("part", len(start))
+    for r in rows.T:
+        np.take(w, r, 0, out=part, mode="clip")
+        start += part
+    return start
+
+
+def exps(z: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits and their sums by row. Rows whose sum would leave what a float holds are brought to a maximum of 0 first, in ``z`` too."""
+    e = room.rows("exp", len(z))
+    with np.errstate(over="ignore"):
+        np.exp(z, out=e)
+    whole = e @ np.ones(CLASSES, np.float32)
+    odd = np.flatnonzero(~((whole > 1e-30) & (whole < 1e30)))
+    if len(odd):
+        z[odd] -= z[odd].max(1, keepdims=True)
+        e[odd] = np.exp(z[odd])
+        whole[odd] = e[odd].sum(1)
+    return e, whole
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -224,6 +239,78 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def steps_of(tree: Tree, hashes: np.ndarray, bits: int, at: np.ndarray, tokens: np.ndarray, before: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(token, rows of the weight table, rows of ``start``, digit) of tokens a to b: the root's steps, then those below."""
+    token, node, y, row = tree.steps(at[a:b], tokens[a:b], before[a:b])
+    for s, which in ((slice(b - a), range(FEATURES)), (slice(b - a, None), DEEP)):
+        chosen = np.empty((len(which), len(token[s])), np.uint64)
+        for k, j in enumerate(which):
+            np.take(hashes[:, j], token[s] + a, out=chosen[k], mode="clip")
+        yield token[s], rows_at(chosen.T, node[s], bits), row[s], y[s]
+
+
+def update(w: np.ndarray, speed: np.ndarray, rows: np.ndarray, start: np.ndarray, y: np.ndarray, room: Room) -> None:
+    """Adagrad on the rows of steps to the digits ``y``, a feature at a time; a row's change is between the mean and the sum of its steps'."""
+    k = len(y)
+    if k > 1 << PLACE or len(w) > 1 << (32 - PLACE + 2):
+        raise ValueError("too many steps or rows for a key of 34 bits")
+    g, whole = exps(logits(w, rows, start, room), room)
+    g *= (1 / whole)[:, None]
+    g[np.arange(k), y] -= 1
+    place, lump = np.arange(k, dtype=np.uint64), w.view(f"V{4 * CLASSES}").ravel()  # a row as one value, which is put faster
+    for r in rows.T if k else ():
+        key = r.astype(np.uint64) << np.uint64(PLACE) | place
+        key.sort()
+        row, o = (key >> np.uint64(PLACE)).astype(np.int64), (key & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        n = np.diff(np.append(first, k))
+        if len(n) == 1:
+            total = g.sum(0, keepdims=True)
+        else:
+            order = np.argsort(-np.minimum(n, BLOCK + 1).astype(np.int16), kind="stable")
+            first, n = first[order], n[order]
+            total = group_sums(g, o, first, n, room)
+        which, n = row[first], n.astype(np.float32)
+        speed[which] = pace = speed[which] + np.einsum("ij,ij->i", total, total) / (CLASSES * n)
+        total *= (RATE / np.sqrt(pace * n))[:, None]
+        now = room.rows("part", len(which))
+        np.take(w, which, 0, out=now, mode="clip")
+        now -= total
+        lump[which] = now.view(lump.dtype).ravel()
+
+
+def group_sums(g: np.ndarray, o: np.ndarray, first: np.ndarray, n: np.ndarray, room: Room) -> np.ndarray:
+    """Sums of the rows ``o[first[i] : first[i] + n[i]]`` of g. Groups of more than ``BLOCK`` rows come first, the others by falling n."""
+    total, part = room.rows("total", len(n)), room.rows("part", len(n))
+    more = len(n) - np.cumsum(np.bincount(np.minimum(n, BLOCK + 1), minlength=BLOCK + 2))  # groups of more rows than that
+    large = int(more[BLOCK])
+    if large:
+        total[:large] = large_sums(g, o, first[:large], n[:large])
+    np.take(g, o.take(first[large:]), 0, out=total[large:], mode="clip")
+    for k in range(1, BLOCK):
+        end = int(more[k])
+        if end == large:
+            break
+        np.take(g, o.take(first[large:end] + k), 0, out=part[: end - large], mode="clip")
+        total[large:end] += part[: end - large]
+    return total
+
+
+def large_sums(g: np.ndarray, o: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same for groups of any size: ``BLOCK`` rows become one until each group has one."""
+    while True:
+        blocks = -(-n // BLOCK)
+        begin = np.cumsum(blocks) - blocks
+        place = (np.repeat(first - BLOCK * begin, blocks) + BLOCK * np.arange(blocks.sum()))[:, None] + np.arange(BLOCK)
+        there = place < np.repeat(first + n, blocks)[:, None]
+        got = g.take(o.take(np.where(there, place, 0).ravel()), 0)
+        got[~there.ravel()] = 0
+        g = got.reshape(-1, BLOCK, CLASSES).sum(1)
+        if blocks.max() == 1:
+            return g
+        o, first, n = np.arange(len(g)), begin, blocks
+
+
 def cooccurrence(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Counts (bucket of the word before, word) over all training documents; the last word stands for all others."""
     shape = (PREV, len(vocab) + 1)
@@ -233,7 +320,7 @@ def cooccurrence(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray) -> np.n
 
         total = np.zeros(shape[0] * shape[1], np.int64)
         for b in batches:
-            for _, tokens, border in token_pieces(b, 1, _train_rows(b)):
+            for _, tokens, border in token_pieces(_train_rows(b), 1):
                 k = lookup(tokens, vocab)
                 before = previous(bucket[k], border, 1, PREV - 1)
                 total += np.bincount(before * shape[1] + k, minlength=len(total))
@@ -382,17 +469,28 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
 
             vocab, bucket, tree = fixed.value
             w0 = sent.value
-            w, seen = w0.copy(), np.zeros(len(w0), np.int64)
+            w, seen, held, room = w0.copy(), np.zeros(len(w0), np.int64), [], Room()
             speed = np.full(len(w0), 1.0, np.float32)
+
+            def count() -> None:
+                nonlocal seen
+                seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                held.clear()
+
             for b in batches:
-                for _, tokens, border in token_pieces(b, 1, _train_rows(b, round_)):
+                for _, tokens, border in token_pieces(_train_rows(b, round_), 1):
                     at, hashes = lookup(tokens, vocab), feature_hashes(tokens, border)
                     before = previous(bucket[at], border, 1, PREV - 1)
-                    for i in range(0, len(tokens), 4096):
-                        token, node, y, row = tree.steps(at[i : i + 4096], tokens[i : i + 4096], before[i : i + 4096])
-                        r, root = rows_at(hashes[i + token], node, bits), len(at[i : i + 4096])
-                        update(w, speed, seen, r[:root], tree.start[row[:root]], y[:root])
-                        update(w, speed, seen, r[root:][:, DEEP], tree.start[row[root:]], y[root:])
+                    for i in range(0, len(tokens), STEP):
+                        for _, rows, row, y in steps_of(tree, hashes, bits, at, tokens, before, i, min(i + STEP, len(tokens))):
+                            start = room.rows("start", len(y))
+                            np.take(tree.start, row, 0, out=start, mode="clip")
+                            update(w, speed, rows, start, y, room)
+                            held += list(rows.T)
+                        if len(held) > 100:
+                            count()
+            if held:
+                count()
             part = TaskContext.get().partitionId()
             for k in range(0, len(w), step):
                 n = seen[k : k + step, None]
@@ -443,7 +541,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         w, tree = model.value
-        leaf_log = np.log10(tree.mass)
+        leaf_log, room = np.log10(tree.mass), Room()
         part, k = TaskContext.get().partitionId(), 0
         names = ["uid", "bucket", "a", "b", "c", "d", "e"]
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
@@ -456,14 +554,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 usual = at < len(vocab)
                 lp = np.zeros(len(tokens), np.float64)
                 hashes, before = feature_hashes(tokens, border), previous(bucket[at], border, 1, PREV - 1)
-                for i in range(0, len(tokens), 8192):
-                    token, node, y, row = tree.steps(at[i : i + 8192], tokens[i : i + 8192], before[i : i + 8192])
-                    r, root = rows_at(hashes[i + token], node, bits), len(at[i : i + 8192])
-                    z = np.concatenate([logits(w, r[:root], tree.start[row[:root]]), logits(w, r[root:][:, DEEP], tree.start[row[root:]])])
-                    m = z.max(1)
-                    np.exp(z - m[:, None], out=(e := np.empty_like(z)))
-                    got = z[np.arange(len(z)), y] - m - np.log(e.sum(1))
-                    lp[i : i + 8192] = np.bincount(token, got, len(lp[i : i + 8192]))
+                for i in range(0, len(tokens), STEP):
+                    j = min(i + STEP, len(tokens))
+                    for token, r, row, y in steps_of(tree, hashes, bits, at, tokens, before, i, j):
+                        z = room.rows("start", len(y))
+                        np.take(tree.start, row, 0, out=z, mode="clip")
+                        _, whole = exps(logits(w, r, z, room), room)
+                        got = z[np.arange(len(y)), y] - np.log(whole)
+                        lp[i:j] += np.bincount(token, got, j - i)
                 lp /= math.log(10)
                 lp[~usual] -= leaf_log[leaves(tokens[~usual], tree.digits)]
                 score = np.bincount(doc, lp, n)
