@@ -38,7 +38,7 @@ def first_digits(prefix: bytes, low: int, high: int) -> np.ndarray:
         varied[at // 4] = varied[at // 4] + byte if at // 4 in varied else byte
     a, b, c, d = (np.full(n, x, np.uint32) for x in (_A, _B, _C, _D))
     f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for i in range(64):
+    for i in range(61):  # the word that counts is made in the last but three steps
         r = i // 16
         if r == 0:  # d ^ (b & (c ^ d))
             np.bitwise_xor(c, d, out=f)
@@ -66,8 +66,8 @@ def first_digits(prefix: bytes, low: int, high: int) -> np.ndarray:
         np.bitwise_or(t, f, out=t)
         np.add(t, b, out=t)
         a, b, c, d, t = d, t, b, c, a
-    np.add(a, np.uint32(_A), out=a)
-    return a.byteswap()
+    np.add(b, np.uint32(_A), out=b)
+    return b.byteswap()
 
 
 def positions(k: int) -> Iterator[tuple[int, int]]:
