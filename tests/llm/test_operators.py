@@ -317,6 +317,17 @@ def test_steps_of_the_tree_are_a_distribution(n):
 
 
 
+def test_dedup_sends_each_text_once_through_one_worker(spark):
+    """The input's row beside the text holds no second text, and no second worker of a task decodes."""
+    long = "é" + "".join(random.Random(3).choices("abcdefghij ", k=150))
+    rows = [(2, long + "é tail", 157, "x"), (1, long, 151, None), (None, None, None, "y"), (4, long, 151, "z")]
+    out = suffix.dedup_texts(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, row string"))
+    assert out.columns == ["doc_id", "text", "n_chars", "row"] and out.schema["n_chars"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, long, 151, None), (2, "é tail", 6, "x"), (None, None, None, "y")], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+
+
 def test_updates_equal_plain_adagrad_and_only_training_texts_are_read(monkeypatch):
     rng = np.random.default_rng(5)
     for k, kinds in ((3000, 4), (3000, 700), (40, 4000), (1, 9), (0, 9)):

@@ -455,13 +455,14 @@ def covered(n: int, pos: np.ndarray, count: np.ndarray, window: int = WINDOW) ->
     return np.cumsum(step[:-1]) > 0
 
 
-def trimmed(docs: DataFrame) -> DataFrame:
-    """docs' columns and rid, n_bytes, n_removed, n_spans, kept (the remaining bytes). ``docs``: doc_id, text, and columns of other names."""
+def trimmed(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """docs' columns and rid, n_bytes, n_removed, n_spans, kept (the remaining bytes; ``as_text``: as text without cut characters, null
+    where nothing is removed). ``docs``: doc_id, text, and columns of other names."""
     ordered = with_key(docs, "rid")
     ranges = repeats(ordered).groupBy("rid").agg(F.collect_list(F.struct("pos", "count")).alias("gone"))
     joined = ordered.join(ranges, "rid", "left")
     k_text, k_gone = joined.columns.index("text"), joined.columns.index("gone")
-    schema = joined.drop("gone").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    schema = joined.drop("gone").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
 
     def run(batches):
         for b in batches:
@@ -477,10 +478,11 @@ def trimmed(docs: DataFrame) -> DataFrame:
                     mask = covered(len(d), w.field(0).to_numpy(zero_copy_only=False), w.field(1).to_numpy(zero_copy_only=False))
                     removed, spans = int(mask.sum()), int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
                     kept = d[~mask]
-                for k, x in zip(cols, (len(d), removed, spans, kept.tobytes()), strict=True):
+                kept = kept.tobytes() if not as_text else kept.tobytes().decode("utf-8", "ignore") if removed else None
+                for k, x in zip(cols, (len(d), removed, spans, kept), strict=True):
                     cols[k].append(x)
             old = [c for j, c in enumerate(b.columns) if j != k_gone]
-            yield pa.RecordBatch.from_arrays([*old, *(pa.array(cols[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(cols["kept"], pa.binary())], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*old, *(pa.array(cols[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(cols["kept"], pa.string() if as_text else pa.binary())], names=[f.name for f in schema])
 
     return joined.mapInArrow(lean(run), schema)
 
@@ -493,16 +495,15 @@ def digest(docs: DataFrame) -> DataFrame:
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """docs without the repeated bytes (cut characters go too) and without documents of which nothing is left; n_chars follows.
 
-    The input's row travels as one struct, so its columns may have any names.
+    The input's row travels as one struct, so its columns may have any names; the text goes beside it, and only texts that change come back anew.
     """
-    decoded = F.pandas_udf(lambda raw: raw.map(lambda b: b.decode("utf-8", "ignore")), "string")
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    kept = trimmed(rows).filter("n_removed < n_bytes OR n_bytes = 0").withColumn("cut", F.when(F.col("n_removed") > 0, decoded(F.col("kept"))))
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    kept = trimmed(rows, as_text=True).filter("n_removed < n_bytes OR n_bytes = 0")
     cut = F.col("n_removed") > 0
 
     def value(c: str):
-        old = F.col("row")[c]
-        new = {"text": F.when(cut, F.col("cut")).otherwise(old), "n_chars": F.when(cut, F.length("cut")).otherwise(old)}.get(c, old)
+        old = F.col("text") if c == "text" else F.col("row")[c]
+        new = {"text": F.when(cut, F.col("kept")).otherwise(old), "n_chars": F.when(cut, F.length("kept")).otherwise(old)}.get(c, old)
         return new.cast(docs.schema[c].dataType).alias(c)
 
     return kept.select(*map(value, docs.columns))
