@@ -38,14 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False, read: Callable[[bytes], np.ndarray] | None = None, tasks: int = 1 << 40) -> dict[int, np.ndarray]:
-    """Sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``; ``packed``:
+def block_sums(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, packed: bool = False, read: Callable[[bytes], np.ndarray] | None = None, tasks: int = 1 << 40) -> DataFrame:
+    """block, data: the sum (or another ufunc) of equal-length arrays by block. ``parts``: part int, block int, data binary (of ``dtype``; ``packed``:
     compressed by zlib; or what ``read`` makes an array of ``dtype`` from).
 
     Three levels, the first two of at most ``fan_in`` arrays a task, so that the last has a few even of millions of parts; the result is as large as one task's set of
     blocks, whatever the number of tasks.
     """
-    plain = (lambda raw: np.frombuffer(zlib.decompress(raw), dtype)) if packed else (lambda raw: np.frombuffer(raw, dtype))
+    plain = _plain(dtype, packed)
 
     def adder(get: Callable[[bytes], np.ndarray]):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,4 +61,14 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 128, add_up=np.add, p
     for k in range(levels):
         keys = ["block"] if k == levels - 1 else ["block", "group"]
         level, get = level.withColumn("group", F.floor(F.col("part") / fan_in)).groupBy(*keys).applyInPandas(adder(get), schema), plain
-    return {r["block"]: plain(r["data"]) for r in level.select("block", "data").collect()}
+    return level.select("block", "data")
+
+
+def sum_blocks(parts: DataFrame, dtype: str, packed: bool = False, **more) -> dict[int, np.ndarray]:
+    """``block_sums`` as arrays by block, all at once on the driver."""
+    plain = _plain(dtype, packed)
+    return {r["block"]: plain(r["data"]) for r in block_sums(parts, dtype, packed=packed, **more).collect()}
+
+
+def _plain(dtype: str, packed: bool) -> Callable[[bytes], np.ndarray]:
+    return (lambda raw: np.frombuffer(zlib.decompress(raw), dtype)) if packed else (lambda raw: np.frombuffer(raw, dtype))

@@ -12,7 +12,7 @@ words are one class of their own. A token's log probability is that of its class
 
 All weights are trained by distributed updates: in each of ``ROUNDS`` rounds every task runs Adagrad over its share of that
 round's documents, and the tasks' changes of each feature row are averaged by how often the task saw the row. The table has more
-rows the more tokens were counted, up to what a task and the driver can hold.
+rows the more tokens were counted (see ``row_bits``), up to what a task and the driver can hold.
 
 Counts cover all training documents. Each pass reads texts as word hashes; rare words' counts are met in buckets of hashes, so
 only the table of frequent words and the model, both of bounded size, go to every task.
@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import sum_blocks
-from .shared import give_back, lean, shuffle_parts, stored
+from .graph import block_sums, sum_blocks
+from .shared import discard, give_back, lean, shuffle_parts, stored
 from .text import mix, pieces, utf8, word_hashes
 
 VOCAB, CLASSES, PREV = 8192, 32, 128
-ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 3, 0.25
+ROW_BITS, DENSE_ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 20, 3, 0.25
 DIGIT, MOST_DIGITS = 5, 3
 FEATURES = 5
 #: Tokens of an update and of a scored batch, bits of a step's place in an update, rows that are added up at once.
@@ -252,8 +252,8 @@ def steps_of(tree: Tree, hashes: np.ndarray, bits: int, at: np.ndarray, tokens:
 def update(w: np.ndarray, speed: np.ndarray, rows: np.ndarray, start: np.ndarray, y: np.ndarray, room: Room) -> None:
     """Adagrad on the rows of steps to the digits ``y``, a feature at a time; a row's change is between the mean and the sum of its steps'."""
     k = len(y)
-    if k > 1 << PLACE or len(w) > 1 << (32 - PLACE + 2):
-        raise ValueError("too many steps or rows for a key of 34 bits")
+    if k > 1 << PLACE:
+        raise ValueError("too many steps for the place in a key")
     g, whole = exps(logits(w, rows, start, room), room)
     g *= (1 / whole)[:, None]
     g[np.arange(k), y] -= 1
@@ -448,8 +448,10 @@ class Tree:
 
 
 def row_bits(total: int) -> int:
-    """Bits of the weight table's rows: about a row for 16 tokens, as far as memory goes."""
-    return min(max((total // 16).bit_length(), ROW_BITS), MOST_ROW_BITS)
+    """Bits of the weight table's rows: about a row for 16 tokens up to ``DENSE_ROW_BITS``; from there a row for 256, so that what the
+    tasks send of it takes no more disk by the token however many there are; as far as memory goes."""
+    dense = min((total // 16).bit_length(), DENSE_ROW_BITS)
+    return min(max(dense, (total // 256).bit_length(), ROW_BITS), MOST_ROW_BITS)
 
 
 def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, root: np.ndarray, bits: int) -> np.ndarray:
@@ -502,12 +504,12 @@ def train(docs: DataFrame, vocab: np.ndarray, bucket: np.ndarray, tree: Tree, ro
             n = np.frombuffer(raw[step * CLASSES * 2 :], "<f4")[:, None]
             return np.concatenate([np.frombuffer(raw[: step * CLASSES * 2], "<f2").reshape(-1, CLASSES) * n, n], 1).ravel()
 
-        got = sum_blocks(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f4", read=weighted, tasks=tasks)
-        w = w.copy()
-        for k, a in got.items():
-            a = a.reshape(-1, CLASSES + 1)
-            w[k : k + step] += a[:, :-1] / np.maximum(a[:, -1:], 1)
+        changes = stored(block_sums(docs.mapInArrow(lean(run), "part int, block int, data binary"), "<f4", read=weighted, tasks=tasks), "changes")
         sent.destroy()  # the driver's copy too
+        for r in changes.toLocalIterator():  # the driver holds the table once, and a few blocks
+            a, k = np.frombuffer(r["data"], "<f4").reshape(-1, CLASSES + 1), r["block"]
+            w[k : k + step] += a[:, :-1] / np.maximum(a[:, -1:], 1)
+        discard(changes)
     fixed.destroy()
     give_back()
     return w
