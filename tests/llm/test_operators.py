@@ -689,10 +689,10 @@ def _arrow(texts):
 
 
 def test_the_weight_table_grows_with_the_tokens():
-    """About a row for 16 tokens up to 2^18 rows, then a row for 256 up to 2^20; rows beyond 2^18 are updated like any other."""
-    assert [maxent.row_bits(n) for n in (0, 1 << 20, 1 << 22, 23_209_938, 116_000_000, 600_000_000, 1 << 40)] == [14, 17, 18, 18, 19, 20, 20]
+    """About a row for 16 tokens up to 2^18 rows, then a row for 256 up to 2^19; rows beyond 2^18 are updated like any other."""
+    assert [maxent.row_bits(n) for n in (0, 1 << 20, 1 << 22, 23_209_938, 116_000_000, 600_000_000, 1 << 40)] == [14, 17, 18, 18, 19, 19, 19]
     rng = np.random.default_rng(6)
-    small, high = rng.integers(0, 1 << 14, (500, 4)), 3 << 18
+    small, high = rng.integers(0, 1 << 14, (500, 4)), 3 << 17
     y, start = rng.integers(0, maxent.CLASSES, 500), rng.normal(size=(500, maxent.CLASSES)).astype(np.float32)
     part = rng.normal(size=(1 << 14, maxent.CLASSES)).astype(np.float32)
     w, speed = np.zeros((1 << maxent.MOST_ROW_BITS, maxent.CLASSES), np.float32), np.ones(1 << maxent.MOST_ROW_BITS, np.float32)

@@ -37,7 +37,7 @@ from .shared import discard, give_back, lean, shuffle_parts, stored
 from .text import mix, pieces, utf8, word_hashes
 
 VOCAB, CLASSES, PREV = 8192, 32, 128
-ROW_BITS, DENSE_ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 20, 3, 0.25
+ROW_BITS, DENSE_ROW_BITS, MOST_ROW_BITS, ROUNDS, RATE = 14, 18, 19, 3, 0.25
 DIGIT, MOST_DIGITS = 5, 3
 FEATURES = 5
 #: Tokens of an update and of a scored batch, bits of a step's place in an update, rows that are added up at once.
